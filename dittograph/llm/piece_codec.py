@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """
     pieces = load(path)
     names = [c for c in docs.columns if c not in ("ids", "n_ids", "exact")]
-    schema = docs.select([F.col(f"`{c}`") for c in names]).schema.add("ids", ArrayType(IntegerType())).add("n_ids", "int").add("exact", "boolean")
+    schema = docs.select([F.col(f"`{c}`") for c in names]).schema.add("ids", ArrayType(IntegerType())).add("n_ids", "integer").add("exact", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
