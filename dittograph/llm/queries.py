@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dittograph.llm import decontaminate, jaccard_join, piece_codec
+from dittograph.llm import decontaminate, jaccard_join, licenses, piece_codec, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep", "reason")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "exact")
 
@@ -28,8 +36,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op8_piece_codec, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.SQL}
+    return {"op3_decontaminate": decontaminate.SQL, "op5_quality_rules": quality_rules.SQL, "op6_licenses": licenses.sql()}
