@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,3 +49,9 @@ def dropped(df: DataFrame) -> None:
     spark = df.sparkSession
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.dittograph_path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def shuffles_released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
