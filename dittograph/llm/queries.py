@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dittograph.llm import decontaminate, jaccard_join, licenses, piece_codec, quality_rules
+from dittograph.llm import decontaminate, jaccard_join, licenses, line_crf, piece_codec, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,15 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.train(docs, _table(spark, sf_dir, "labels"))
+    found = line_crf.scored(docs, model)
+    return found.select("doc_id", "quality", "lines", "bad_lines", (found["quality"] >= line_crf.THRESHOLD).alias("keep"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
