@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from dittograph.llm import flat
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of their id.
 TRAIN_DOCUMENTS = 2000
-THRESHOLD = 0.5
+#: Quality from which a document is kept. Junk scores below 0.1 as a rule; a lower bar than 0.5 keeps clean texts with a few odd lines.
+THRESHOLD = 0.15
 _MEASURES = 10
 
 
@@ -188,7 +189,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("quality", "lines", "bad_lines")]
     picked = docs.select([F.col(f"`{c}`") for c in names])
-    schema = picked.schema.add("quality", DoubleType()).add("lines", IntegerType()).add("bad_lines", IntegerType())
+    schema = StructType(list(picked.schema.fields)).add("quality", DoubleType()).add("lines", IntegerType()).add("bad_lines", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from dittograph.llm import flat
 
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """
     pieces = load(path)
     names = [c for c in docs.columns if c not in ("ids", "n_ids", "exact")]
-    schema = docs.select([F.col(f"`{c}`") for c in names]).schema.add("ids", ArrayType(IntegerType())).add("n_ids", "integer").add("exact", "boolean")
+    schema = StructType(list(docs.select([F.col(f"`{c}`") for c in names]).schema.fields)).add("ids", ArrayType(IntegerType())).add("n_ids", "integer").add("exact", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +224,7 @@ def decode(encoded: DataFrame, path: str = MODEL, column: str = "ids", to: str =
     """``encoded`` with the column ``to``: the text of each id list; null for a null list, empty for an empty one."""
     pieces = load(path)
     names = [c for c in encoded.columns if c != to]
-    schema = encoded.select([F.col(f"`{c}`") for c in names]).schema.add(to, "string")
+    schema = StructType(list(encoded.select([F.col(f"`{c}`") for c in names]).schema.fields)).add(to, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
