@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dittograph.llm import decontaminate, jaccard_join, licenses, line_crf, piece_codec, quality_rules
+from dittograph.llm import context_mixing, decontaminate, jaccard_join, licenses, line_crf, piece_codec, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "bytes", "bits", "bits_per_byte")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep", "reason")
 
@@ -43,7 +47,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard, op10_line_crf)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_context_mixing, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
