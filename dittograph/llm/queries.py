@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dittograph.llm import context_mixing, decontaminate, jaccard_join, licenses, line_crf, piece_codec, quality_rules
+from dittograph.llm import context_mixing, decontaminate, jaccard_join, licenses, line_crf, packing, piece_codec, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +51,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op4_context_mixing, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard, op10_line_crf)}
+    return {f.__name__: f for f in (op2_packing, op3_decontaminate, op4_context_mixing, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
