@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dittograph.llm import context_mixing, decontaminate, jaccard_join, licenses, line_crf, packing, piece_codec, quality_rules
+from dittograph.llm import context_mixing, decontaminate, jaccard_join, licenses, line_crf, packing, piece_codec, quality_rules, transcripts, warc
+from dittograph.storage import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write(_table(spark, sf_dir, "pages"), fresh(spark, "warc"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return transcripts.formatted(transcripts.raw_transcripts(turns), transcripts.tables_from(turns))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "exact")
 
@@ -51,7 +61,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op3_decontaminate, op4_context_mixing, op5_quality_rules, op6_licenses, op8_piece_codec, op9_ngram_jaccard, op10_line_crf)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_decontaminate, op4_context_mixing, op5_quality_rules, op6_licenses, op7_transcripts, op8_piece_codec, op9_ngram_jaccard, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
