@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,5 +54,7 @@ def dropped(df: DataFrame) -> None:
 
 def shuffles_released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are over: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python holds in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
