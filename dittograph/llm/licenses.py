@@ -64,9 +64,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, lines: bool = True, br
     if lines:
         several = F.split(text, "\n")
         units = F.when(F.size(several) > 1, F.concat(F.array(text), several)).otherwise(units)
-    each = docs.select(F.col("doc_id"), F.posexplode(units).alias("line", "unit")).filter("unit <> ''")
-    form = each.select("doc_id", "line", canonical(F.col("unit")).alias("form")).filter("form <> ''")
-    return form.select("doc_id", "line", F.sha2("form", 256).alias("digest")).join(digests, "digest").select("doc_id", "line", "license", "digest")
+    each = docs.select(F.col("doc_id"), F.posexplode(units).alias("line", "unit"))
+    # never null, so that the join adds no null check that would work out the form twice
+    digest = F.coalesce(F.sha2(canonical(F.col("unit")), 256), F.lit(""))
+    return each.select("doc_id", "line", digest.alias("digest")).join(digests, "digest").select("doc_id", "line", "license", "digest")
 
 
 def _sql_form(x: str) -> str:
