@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 
 from dittograph.llm import flat
 from dittograph.operators.components import connected_components
-from dittograph.storage import dropped, written
+from dittograph.storage import dropped, shuffles_released, written
 
-N, THRESHOLD = 3, 0.5
+N, THRESHOLD = 5, 0.4
 #: Most n-grams that one task joins in memory; larger regions are split first.
-REGION_TOKENS = 8_000_000
+REGION_TOKENS = 4_000_000
+#: N-grams of small regions that one task is given.
+TASK_TOKENS = 1_000_000
 _LOW = np.uint64(0xFFFFFFFF)
 _B32 = np.uint64(32)
 _BLOB = "bucket int, ids binary, counts binary, grams binary, sizes binary"
@@ -65,7 +67,7 @@ def _emit(n: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in flat.chunks(batch, "text", 6 << 20):
+            for part in flat.chunks(batch, "text", 3 << 20):
                 ids = np.asarray(part.column("doc_id"), np.int64)
                 g, doc = flat.ngrams(*flat.words(part.column("text")), n)
                 key = ((g >> np.uint64(64 - bits)) << np.uint64(48)) | (doc.astype(np.uint64) << _B32) | (g & _LOW)
@@ -128,7 +130,7 @@ def _count(parts: int):
         counts = np.bincount((back >> _B32).astype(np.int64), minlength=len(ids)).astype(np.uint32)
         grams = (back & _LOW).astype(np.uint32)
         part = _part(ids, parts)
-        by = np.argsort(part, kind="stable")
+        by = np.lexsort((ids, part))  # ids ascend, so that their differences compress well
         by = by[counts[by] > 0]
         begin = np.cumsum(counts) - counts
         sized = np.concatenate(sized) if sized else np.empty(0, np.int64)
@@ -141,7 +143,7 @@ def _count(parts: int):
             docs, has = by[edge[p] : edge[p + 1]], so[sedge[p] : sedge[p + 1]]
             if len(docs) or len(has):
                 take = _ranges(begin[docs], counts[docs])
-                rows.append((p, bucket, ids[docs].tobytes(), counts[docs].tobytes(), grams[take].tobytes(), rank[take].tobytes(), sized[has].tobytes(), sizes[has].tobytes()))
+                rows.append((p, bucket, np.diff(ids[docs], prepend=0).tobytes(), counts[docs].tobytes(), grams[take].tobytes(), rank[take].tobytes(), sized[has].tobytes(), sizes[has].tobytes()))
         return pa.Table.from_batches([_batch(rows, [pa.int32(), pa.int32()] + [pa.binary()] * 6, ["part", "bucket", "ids", "counts", "grams", "ranks", "sized", "sizes"])])
 
     return run
@@ -159,7 +161,8 @@ def _survive(t: float):
     """Documents with enough shared n-grams, which are ordered from rare to frequent."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, counts = _joined(table.column("ids"), np.int64), _joined(table.column("counts"), np.uint32)
+        ids = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table.column("ids").to_pylist()])
+        counts = _joined(table.column("counts"), np.uint32)
         low, rank = _joined(table.column("grams"), np.uint32), _joined(table.column("ranks"), np.uint8)
         bucket = np.repeat(np.asarray(table.column("bucket"), np.uint64), [len(x) // 4 for x in table.column("grams").to_pylist()])
         sized, sizes = _joined(table.column("sized"), np.int64), _joined(table.column("sizes"), np.uint32)
@@ -340,7 +343,7 @@ def _regions_joined(sets: DataFrame, t: float, cap: int, depth: int = 0) -> list
     small = sets
     if large:
         small = sets.join(sums.filter(F.col("w") <= cap).select("region"), "region", "left_semi")
-    out = [_by_task(small, total or 1, cap).groupBy("task").applyInArrow(_join_groups(t), edge)] if total else []
+    out = [_by_task(small, total or 1, min(cap, TASK_TOKENS)).groupBy("task").applyInArrow(_join_groups(t), edge)] if total else []
     if not large:
         return out
     heavy = written(sets.join(sums.filter(F.col("w") > cap), "region"), "large")
@@ -399,6 +402,7 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHO
     if not 1 / 3 < threshold <= 1:
         raise ValueError("threshold must be above 1/3 and at most 1: beyond d = 2/3 windows hold everything")
     found = survivors(docs, n, threshold)
+    shuffles_released(docs.sparkSession)
     # equal sets: one stands for all, so copies by the thousand cost no comparison
     digest = found.select("doc_id", F.sha2("grams", 256).alias("digest"), "size")
     least = digest.groupBy("digest", "size").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n"))
