@@ -84,7 +84,7 @@ def _counted(orders: tuple[int, ...], table_bits: int):
                         counts[k] += both.astype(np.uint32)
         for k in range(len(orders)):
             rows = []
-            for p in range(max(1, 1 << (table_bits - _PART))):
+            for p in range(1 << max(0, table_bits - _PART)):
                 here = counts[k, p << _PART : (p + 1) << _PART]
                 at = np.flatnonzero(here)
                 if len(at):

@@ -102,7 +102,7 @@ class _Files:
     def open(self, shard: int, number: int) -> None:
         self.shard, self.number, self.name = shard, number, f"part-{shard:06d}-{number:05d}.warc.gz"
         self.tmp = f"{self.root}/.tmp-{self.name}-{self.attempt}"
-        self.out, self.sha, self.size, self.records = self.fs.open_output_stream(self.tmp), hashlib.sha256(), 0, 0
+        self.out, self.sha, self.size, self.records = self.fs.open_output_stream(self.tmp, compression=None), hashlib.sha256(), 0, 0
         self.write(_info(self.name, self.date))
 
     def write(self, data: bytes) -> None:
@@ -203,7 +203,7 @@ def read(uri: str) -> Iterator[dict]:
     with fs.open_input_stream(f"{root}/MANIFEST.jsonl") as f:
         names = [json.loads(line)["file"] for line in f.read().splitlines()]
     for name in names:
-        with fs.open_input_stream(f"{root}/{name}") as f:
+        with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
             data, at = f.read(), 0
         while at < len(data):
             z = zlib.decompressobj(31)
