@@ -382,6 +382,12 @@ def deletion_plan(spark, sf_dir):
     return policy.deletion_plan(policy.auto_select(images(spark, sf_dir), ["grp"], ["path"], _ALL, "safe"))
 
 
+@_query(f"WITH {_SAFE} SELECT count(*) FILTER (CASE WHEN grp = 'Brand#11' THEN NOT selected ELSE selected END) AS n_selected FROM safe")
+def toggle_and_count(spark, sf_dir):
+    chosen = policy.auto_select(images(spark, sf_dir), ["grp"], ["path"], _ALL, "safe")
+    return policy.selected_count(policy.toggled(chosen, F.col("grp") == "Brand#11"))
+
+
 _GONE = _MEMBERS + ", gone AS (SELECT path, size FROM members WHERE rank_in_group > 2)"
 
 

@@ -215,3 +215,20 @@ def test_stream_grows_groups(spark, tmp_path):
         increment.start(increment.hash_stream(spark, inbox), *args).awaitTermination()
         seen.append({r.id: r.component for r in increment.groups(spark, args[1]).collect()})
     assert seen == [{1: 1, 2: 1}, {1: 1, 2: 1, 3: 1}, {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}]
+
+
+def test_selection(spark):
+    rows = spark.createDataFrame([(1, "g", True), (2, "g", False), (3, "h", None)], "id int, grp string, selected boolean")
+    chosen = lambda d: {r.id for r in d.filter("selected").collect()}
+    assert chosen(policy.toggled(rows)) == {1, 2, 3} and chosen(policy.toggled(policy.toggled(rows))) == set()
+    assert chosen(policy.toggled(rows, F.col("id") == 1)) == set() and chosen(policy.toggled(rows, F.col("grp") == "g", True)) == {1, 2}
+    assert policy.selected_count(rows).first().n_selected == 1
+
+
+def test_counts_and_tags(spark):
+    from dittograph.streaming import control
+
+    rows, seen = control.observed(spark.range(10), "scan", even=F.col("id") % 2 == 0)
+    with control.tagged(spark, "scan"):
+        rows.collect()
+    assert seen.get == {"rows": 10, "even": 5} and control.cancel(spark, "scan") == []
