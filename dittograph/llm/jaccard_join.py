@@ -404,7 +404,9 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHO
     found = survivors(docs, n, threshold)
     shuffles_released(docs.sparkSession)
     # equal sets: one stands for all, so copies by the thousand cost no comparison
-    digest = found.select("doc_id", F.sha2("grams", 256).alias("digest"), "size")
+    # (a set with n-grams of its own, which aren't listed, equals no other)
+    whole = found.filter(F.octet_length("grams") == 8 * F.col("size"))
+    digest = whole.select("doc_id", F.sha2("grams", 256).alias("digest"), "size")
     least = digest.groupBy("digest", "size").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n"))
     same = digest.join(least.filter("n > 1"), ["digest", "size"]).select("doc_id", "rep_id").filter("doc_id <> rep_id")
     same = written(same, "same")
