@@ -106,7 +106,7 @@ def _chains(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marginals(score: np.ndarray, doc: np.ndarray, model: Model, moves: bool = False):
-    """P(good) of each line, from scores of good against bad; with ``moves`` also expected moves and log Z.
+    """P(good) of each line, from scores of good against bad; with ``moves`` also P(move into it), the lines that have one, and log Z.
 
     Texts run in step: the k-th step handles the k-th line of all texts that have one.
     """
@@ -133,29 +133,37 @@ def marginals(score: np.ndarray, doc: np.ndarray, model: Model, moves: bool = Fa
     link = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     pair = forward[link - 1][:, :, None] * m * (e[link] * backward[link])[:, None, :]
     pair /= pair.sum((1, 2))[:, None, None]
-    return good, pair.sum(0), np.log(scale).sum(), begin
+    return good, pair, link, np.log(scale).sum()
 
 
-def fit(texts: pa.Array, good: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Model:
-    """Weights of greatest regularised likelihood, by Adam on the full sample; classes count alike."""
-    x, doc, n = line_features(texts)
+def fit(texts: list[pa.Array], good: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> Model:
+    """Weights of greatest regularised likelihood, by Adam on the full sample.
+
+    Both classes weigh alike, and in a class all documents, whatever their length.
+    """
+    x, doc, before = [], [], 0
+    for part in texts:
+        features, of, _ = line_features(part)
+        x.append(features)
+        doc.append(of + before)
+        before += len(part)
+    x, doc = np.concatenate(x), np.concatenate(doc)
     model = Model(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2))
     y = good[doc].astype(np.int64)
     if len(set(y.tolist())) < 2:
         return model
     share = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum()))
-    lines = np.bincount(doc, minlength=len(good))
-    weight = (share / np.maximum(1, lines))[doc]
-    weight /= weight.sum()
-    link = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    seen = np.bincount(y[link - 1] * 2 + y[link], minlength=4).reshape(2, 2) / max(1, len(link))
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    weight = (share / np.maximum(1, np.bincount(doc, minlength=len(good))))[doc]
+    first = np.r_[True, doc[1:] != doc[:-1]]
+    link = np.flatnonzero(~first)
+    seen = np.bincount(y[link - 1] * 2 + y[link], weight[link], minlength=4).reshape(2, 2)
     theta = np.zeros(FEATURES + 6)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         model = Model(theta[:FEATURES], theta[FEATURES : FEATURES + 4].reshape(2, 2), theta[-2:])
-        p, pairs, _, _ = marginals(x @ model.weights, doc, model, True)
-        g = np.concatenate([x.T @ (weight * (y - p)), (seen - pairs / max(1, len(link))).ravel(), [((1 - y) - (1 - p))[first].mean(), (y - p)[first].mean()]])
+        p, pairs, at, _ = marginals(x @ model.weights, doc, model, True)
+        start = ((y - p) * weight)[first].sum()
+        g = np.concatenate([x.T @ (weight * (y - p)), (seen - np.einsum("k,kij->ij", weight[at], pairs)).ravel(), [-start, start]])
         g -= ridge * theta
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
@@ -176,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Mo
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna().join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
     if not table.num_rows:
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2))
-    return fit(table.column("text").combine_chunks(), np.asarray(table.column("quality")) > 0)
+    batch = table.select(["text"]).combine_chunks().to_batches()[0]
+    return fit([part.column("text") for part in flat.chunks(batch, "text", 1 << 20)], np.asarray(table.column("quality")) > 0)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

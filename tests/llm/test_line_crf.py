@@ -14,7 +14,7 @@ def test_marginals_equal_enumeration():
     model = C.Model(np.zeros(C.FEATURES), r.normal(size=(2, 2)), r.normal(size=2))
     doc = np.repeat(np.arange(4), [1, 5, 3, 7])
     score = r.normal(size=16) * 2
-    got, pairs, logz, _ = C.marginals(score, doc, model, True)
+    got, pairs, _, logz = C.marginals(score, doc, model, True)
     want, want_pairs, want_z = np.zeros(16), np.zeros((2, 2)), 0.0
     for d in range(4):
         at = np.flatnonzero(doc == d)
@@ -27,7 +27,7 @@ def test_marginals_equal_enumeration():
             want[at] += np.array(y) * w / z
             for a, b in zip(y, y[1:]):
                 want_pairs[a, b] += w / z
-    assert got == pytest.approx(want) and pairs == pytest.approx(want_pairs) and logz == pytest.approx(want_z)
+    assert got == pytest.approx(want) and pairs.sum(0) == pytest.approx(want_pairs) and logz == pytest.approx(want_z)
 
 
 def sample(n, start):
