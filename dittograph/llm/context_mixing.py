@@ -73,15 +73,14 @@ def _counted(orders: tuple[int, ...], table_bits: int):
     """Counts of all texts of a task, in parts, without the entries that are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(orders), 1 << table_bits), np.uint32)
+        counts, one = np.zeros((len(orders), 1 << table_bits), np.uint32), np.uint32(1)
         for batch in batches:
             for part in flat.chunks(batch, "text"):
                 raw, at = flat.utf8(part.column("text"))
                 if len(raw):
                     for k, high, low in entries(raw, at, orders, table_bits):
-                        both = np.bincount(high, minlength=1 << table_bits)
-                        both += np.bincount(low, minlength=1 << table_bits)
-                        counts[k] += both.astype(np.uint32)
+                        np.add.at(counts[k], high, one)
+                        np.add.at(counts[k], low, one)
         for k in range(len(orders)):
             rows = []
             for p in range(1 << max(0, table_bits - _PART)):
@@ -161,7 +160,8 @@ def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray, orders: tuple[
         path[j].take(low[turn], out=logits[j, :, 1], mode="clip")
     logits = logits.view(np.int8).reshape(k, len(raw) * 8)
     bits = _BITS[raw[turn]].ravel()
-    weights = np.full((k, n * 8), START / k * 2 / SCALE, np.float32)
+    zeros = 1 - bits
+    weights = np.full((k, n * 8), -START / k * 2 / SCALE, np.float32)  # negative, so that the sum goes into exp as it is
     cells = np.empty((n * 8, _MAP_CELLS + 1), np.float32)
     cells[:] = 1 / (1 + np.exp(-(np.arange(_MAP_CELLS + 1) - _MAP_CELLS / 2)))
     cells = cells.ravel()
@@ -169,26 +169,25 @@ def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray, orders: tuple[
     rate = np.float32(RATE / SCALE / SCALE)
     x, dot, p, cell = np.empty((k, n * 8), np.float32), np.empty(n * 8, np.float32), np.empty(n * 8, np.float32), np.empty(n * 8, np.int64)
     for t, m in enumerate(alive * 8):
-        own, bit = logits[:, edge[t] * 8 : edge[t + 1] * 8], bits[edge[t] * 8 : edge[t + 1] * 8]
+        own, bit, zero = logits[:, edge[t] * 8 : edge[t + 1] * 8], bits[edge[t] * 8 : edge[t + 1] * 8], zeros[edge[t] * 8 : edge[t + 1] * 8]
         x_, dot_, p_, cell_, w = x[:, :m], dot[:m], p[:m], cell[:m], weights[:, :m]
         np.copyto(x_, own)
         np.multiply(w[0], x_[0], out=dot_)
         for j in range(1, k):
             np.multiply(w[j], x_[j], out=p_)
             dot_ += p_
-        np.clip(dot_, -_CLIP, _CLIP, out=dot_)
-        np.negative(dot_, out=p_)
-        np.exp(p_, out=p_)
+        np.minimum(dot_, _CLIP, out=dot_)
+        np.maximum(dot_, -_CLIP, out=dot_)
+        np.exp(dot_, out=p_)
         p_ += 1
         np.reciprocal(p_, out=p_)
-        dot_ += _HALF
+        np.subtract(_HALF, dot_, out=dot_)
         np.copyto(cell_, dot_, casting="unsafe")
         cell_ += row[:m]
         a = cells.take(cell_, mode="clip")
         mean = a + p_
         mean *= np.float32(-0.5)
-        mean += 1
-        mean -= bit
+        mean += zero
         np.abs(mean, out=mean)
         np.maximum(mean, _LEAST, out=mean)
         total[: m // 8] -= np.log2(mean.reshape(-1, 8).prod(1))
@@ -199,7 +198,7 @@ def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray, orders: tuple[
         np.subtract(bit, p_, out=p_)
         p_ *= rate
         x_ *= p_
-        w += x_
+        w -= x_
     return np.bincount(text, total, minlength=len(size))
 
 
