@@ -28,7 +28,7 @@ RULES = {
     "separators": rf"10 * (length(text) - length(replace(text, '|', ''))) > {_COUNT}",
     "exclamations": rf"5 * (length(text) - length(replace(text, '!', ''))) > {_COUNT}",
     "shouting": rf"10 * regexp_count(text, '\\p{{Lu}}') > 6 * regexp_count(text, '\\p{{L}}') and {_COUNT} >= 5",
-    "repeated_words": rf"5 * aggregate(zip_with(slice({_WORDS}, 2, greatest(size({_WORDS}) - 1, 0)), {_WORDS}, (a, b) -> int(a = b)), 0, (s, x) -> s + coalesce(x, 0)) > {_COUNT}",
+    "repeated_words": rf"{_COUNT} >= 10 and 5 * aggregate(zip_with(slice({_WORDS}, 2, greatest(size({_WORDS}) - 1, 0)), {_WORDS}, (a, b) -> int(a = b)), 0, (s, x) -> s + coalesce(x, 0)) > {_COUNT}",
     "repeated_lines": rf"size({_LINES}) >= 4 and 10 * (size({_LINES}) - size(array_distinct({_LINES}))) > 4 * size({_LINES})",
 }
 SAMPLE = 2000
@@ -118,7 +118,7 @@ WITH f AS (
     WHEN 10 * bars > words THEN 'separators'
     WHEN 5 * bangs > words THEN 'exclamations'
     WHEN 10 * upper > 6 * letters AND words >= 5 THEN 'shouting'
-    WHEN 5 * len(list_filter(range(2, words + 1), lambda i: w[i] = w[i - 1])) > words THEN 'repeated_words'
+    WHEN words >= 10 AND 5 * len(list_filter(range(2, words + 1), lambda i: w[i] = w[i - 1])) > words THEN 'repeated_words'
     WHEN len(lines) >= 4 AND 10 * (len(lines) - len(list_distinct(lines))) > 4 * len(lines) THEN 'repeated_lines'
   END AS reason FROM f
 )
