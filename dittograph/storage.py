@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end; write results elsewhere before."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > first:
+            deleted(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,9 +69,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table of :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.dittograph_path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    deleted(df.sparkSession, df.dittograph_path)
+    _made.remove(df.dittograph_path)
 
 
 def shuffles_released(spark: SparkSession) -> None:
