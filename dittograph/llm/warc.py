@@ -186,7 +186,7 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).filter("url is not null and html is not null")
     bounds = bounds_of(rows, shard_bytes)
     packed = rows.withColumn("html", F.encode("html", "UTF-8")).mapInArrow(_compressed(bounds, date), _RECORD)
-    ordered = packed.repartition("shard").sortWithinPartitions("shard", "url", F.col("page_id").asc_nulls_first(), "digest")
+    ordered = packed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "url", F.col("page_id").asc_nulls_first(), "digest")
     ordered.mapInArrow(_appended(uri, file_bytes, date), _INDEX).write.mode("overwrite").parquet(f"{uri}/index")
     index = spark.read.schema(_INDEX).parquet(f"{uri}/index")
     tmp = f"{root}/.tmp-MANIFEST-{uuid.uuid4().hex}"
