@@ -59,7 +59,7 @@ def measured(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPL
     """
     total = docs.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1)))
-    table = written(docs.filter(share).select("text").coalesce(1), "sample")
+    table = written(docs.filter(share).select("text").repartition(1), "sample")
 
     def run(rule: str) -> tuple[float, int, int]:
         best = (float("inf"), 0, 0)
