@@ -43,6 +43,8 @@ from dittograph.storage import dropped, shuffles_released, written
 N, THRESHOLD = 5, 0.4
 #: Most n-grams that one task joins in memory; larger regions are split first.
 REGION_TOKENS = 4_000_000
+#: Bytes of pivots that a split may send to all executors; beyond it pairs of blocks are joined at once.
+PIVOT_BYTES = 64 << 20
 #: N-grams of small regions that one task is given.
 TASK_TOKENS = 1_000_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -273,15 +275,18 @@ def cells(ids: np.ndarray, size: np.ndarray, grams: np.ndarray, has: np.ndarray,
         gone[inside] = True
         gone[p] = True
         if len(inside) > 1:
-            open_ = other[window & ~near]
-            for m in inside:
-                open_ = open_[[root(int(y)) != root(int(m)) for y in open_]] if len(open_) else open_
-                if not len(open_):
+            # the cell is one group by now: only other groups' documents in the window can still add to it
+            open_ = np.array([y for y in other[window & ~near].tolist() if root(y) != root(p)], np.int64)
+            by_cell = len(inside) <= len(open_)
+            for m in (inside if by_cell else open_).tolist():
+                if by_cell and not len(open_):
                     break
-                if m != p:
-                    o, c = index.overlaps(int(m))
-                    hit = index.within(int(m), o, c, 2, f) & np.isin(o, open_)
-                    unite(int(m), o[hit])
+                o, c = index.overlaps(m)
+                hit = o[index.within(m, o, c, 2, f) & np.isin(o, open_ if by_cell else inside)]
+                if len(hit):
+                    unite(m, hit)
+                    if by_cell:
+                        open_ = np.array([y for y in open_.tolist() if root(y) != root(p)], np.int64)
     return np.array([root(int(x)) for x in range(len(ids))], np.int64)
 
 
@@ -348,14 +353,13 @@ def _regions_joined(sets: DataFrame, t: float, cap: int, depth: int = 0) -> list
         return out
     heavy = written(sets.join(sums.filter(F.col("w") > cap), "region"), "large")
     blocks = F.greatest(F.lit(2), F.ceil(2 * F.col("w") / cap)).cast("int")
-    if depth >= 4:
+    order = "row_number() over (partition by region order by xxhash64(doc_id), doc_id)"
+    pivots = heavy.selectExpr("*", f"{order} as k").filter(F.col("k") <= F.least(F.lit(16), blocks)).select("region", "size", "grams")
+    if depth >= 4 or pivots.agg(F.sum(F.octet_length("grams"))).first()[0] > PIVOT_BYTES:
         # what pivots don't split: each document goes to the pairs of blocks with its own
         mine = F.pmod(F.xxhash64("doc_id", F.lit(depth)), blocks).cast("int")
         paired = heavy.select("region", "doc_id", "size", "grams", mine.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("c"))
         return [*out, paired.groupBy("region", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi")).applyInArrow(_join_groups(t), edge)]
-    wanted = F.least(F.lit(16), blocks)
-    order = "row_number() over (partition by region order by xxhash64(doc_id), doc_id)"
-    pivots = heavy.selectExpr("*", f"{order} as k").filter(F.col("k") <= wanted).select("region", "size", "grams")
     held = [(r.region, r.size, np.frombuffer(r.grams, np.uint64)) for r in pivots.toLocalIterator()]
     split = written(heavy.select("region", "doc_id", "size", "grams").mapInArrow(_measure(held, t), "region long, cell int, home boolean, doc_id long, size int, grams binary"), "split")
     again = split.select(F.xxhash64("region", "cell", F.lit(depth)).alias("region"), "doc_id", "size", "grams", "cell", F.col("region").alias("was"))

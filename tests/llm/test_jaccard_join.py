@@ -74,6 +74,12 @@ def test_large_regions_split_without_loss(make, corpus, cap):
     assert got == brute(corpus)
 
 
+def test_blocks_are_paired_where_pivots_would_be_too_large(make, corpus, monkeypatch):
+    monkeypatch.setattr(J, "PIVOT_BYTES", 0)
+    got = {tuple(r) for r in J.ngram_jaccard_groups(make(corpus), region_tokens=1000).collect()}
+    assert got == brute(corpus)
+
+
 def test_odd_rows(odd, nothing):
     got = {tuple(r) for r in J.ngram_jaccard_groups(odd).collect()}
     # 12 has two texts: the lesser counts
