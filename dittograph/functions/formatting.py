@@ -17,7 +17,7 @@ class SizeUnit(Enum):
     TB = "TB"
 
 
-_UNITS = ("B", "KB", "MB", "GB", "TB")
+_UNITS = "B KB MB GB TB".split()
 
 
 
