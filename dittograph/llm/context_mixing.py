@@ -152,8 +152,8 @@ def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray, orders: tuple[
     alive = n - np.searchsorted(length[::-1], np.arange(length[0]), "right")
     edge = np.r_[0, np.cumsum(alive)]
     # the bytes in the order in which the steps need them
-    turn = np.repeat(np.arange(length[0]) - edge[:-1], alive) + np.arange(edge[-1])  # step + lane
-    turn = start[turn - np.repeat(np.arange(length[0]), alive)] + np.repeat(np.arange(length[0]), alive)
+    step = np.repeat(np.arange(length[0]), alive)
+    turn = start[np.arange(edge[-1]) - edge[step]] + step
     logits = np.empty((k, len(raw), 2), np.uint32)
     for j, high, low in entries(raw, at, orders, int(path.shape[1]).bit_length() - 1):
         path[j].take(high[turn], out=logits[j, :, 0], mode="clip")
