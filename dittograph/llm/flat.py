@@ -19,7 +19,7 @@ _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TOP = 0x32400  # beyond it Unicode has no letters or digits so far
 
 
-def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20, max_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20, max_rows: int = 60_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``max_bytes`` of text each; a longer text is a slice of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     total, start = np.cumsum(size), 0
