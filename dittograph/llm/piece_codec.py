@@ -66,14 +66,14 @@ def load(path: str = MODEL) -> Pieces:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    count = model.get_piece_size()
-    pieces = [model.id_to_piece(i) for i in range(count)]
-    plain = [i for i in range(count) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    bytes_ = [i for i in range(count) if model.is_byte(i)]
+    every = list(range(model.get_piece_size()))
+    pieces, score, is_byte = model.id_to_piece(every), model.get_score(every), model.is_byte(every)
+    plain = [i for i, no in enumerate(zip(is_byte, model.is_control(every), model.is_unknown(every), model.is_unused(every))) if not any(no)]
+    bytes_ = [i for i in every if is_byte[i]]
     if len(bytes_) != 256 or any("▁" in pieces[i].lstrip("▁") for i in plain):
         raise ValueError("the model needs byte fallback and pieces that have the space mark only in front")
     ids = {pieces[i]: i for i in plain}
-    scores = {s: k for k, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
+    ranked = {s: k for k, s in enumerate(sorted({score[i] for i in plain}, reverse=True))}
     chars = np.full(0x110000, -1, np.int32)
     table = []
     for i in plain:
@@ -83,15 +83,16 @@ def load(path: str = MODEL) -> Pieces:
         for k in range(1, len(s)):
             a, b = ids.get(s[:k]), ids.get(s[k:])
             if a is not None and b is not None:
-                table.append(((a << 32) + b + 1, scores[model.get_score(i)], i))
+                table.append(((a << 32) + b + 1, ranked[score[i]], i))
     size = 1 << (4 * len(table)).bit_length()
-    slots, ranks, merged, probes = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32), 0
+    slots, ranks, merged, probes = [0] * size, np.zeros(size, np.int32), np.zeros(size, np.int32), 0
     for key, rank, i in table:
         slot, n = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - (size - 1).bit_length()), 0
         while slots[slot]:
             slot, n = (slot + 1) & (size - 1), n + 1
         slots[slot], ranks[slot], merged[slot], probes = key, rank, i, max(probes, n)
-    raw = [bytes([i - bytes_[0]]) if model.is_byte(i) else pieces[i].replace("▁", " ").encode() if i in ids.values() and False else b"" for i in range(count)]
+    slots = np.array(slots, np.uint64)
+    raw = [bytes([i - bytes_[0]]) if is_byte[i] else b"" for i in every]
     for i in plain:
         raw[i] = pieces[i].replace("▁", " ").encode()
     raw[0] = " ⁇ ".encode()
