@@ -104,3 +104,15 @@ def test_hot_group_of_equal_texts(make):
 def test_threshold_is_checked(make):
     with pytest.raises(ValueError):
         J.ngram_jaccard_groups(make([]), threshold=0.3)
+
+
+def test_short_and_edited_copies_match_by_default(make):
+    """One inner word of 11 to 15 substituted (3-grams at 0.50 or more), and every tenth word of a long text."""
+    texts = []
+    for size in range(11, 16):
+        words = [f"w{size}x{k}" for k in range(size)]
+        texts += [(2 * size, " ".join(words)), (2 * size + 1, " ".join([*words[:5], "other", *words[6:]]))]
+    words = [f"long{k}" for k in range(900)]
+    texts += [(100, " ".join(words)), (101, " ".join("other" + w if k % 10 == 4 else w for k, w in enumerate(words)))]
+    got = {tuple(r) for r in J.ngram_jaccard_groups(make(texts)).collect()}
+    assert got == {(k, k // 2 * 2) for k, _ in texts}
