@@ -1,4 +1,14 @@
-"""Texts of common licences and of the notices by which files refer to them."""
+"""Texts of common licences and of the notices by which files refer to them.
+
+Whole texts lie in ``licence_files``, each under its licence's name, as their publishers
+word and wrap them.
+"""
+
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
+_FILES = Path(__file__).parent / "licence_files"
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
@@ -37,3 +47,31 @@ KNOWN = [
     ("BSD-3-Clause-notice", "Licensed under the BSD 3-Clause License."),
     ("proprietary-notice", "All content is proprietary and confidential."),
 ]
+
+
+def _variants(name: str, text: str) -> Iterator[tuple[str, str]]:
+    """``text`` in the forms in which it stands alone: with its appendix and without, with a title and points of either kind."""
+    texts = [text]
+    if "END OF TERMS AND CONDITIONS" in text:
+        texts.append(text.partition("END OF TERMS AND CONDITIONS")[0])
+        texts.append(texts[1] + "END OF TERMS AND CONDITIONS")
+    if name == "CC-BY-4.0":  # with the publisher's frame and without
+        texts.append(text[text.index("Creative Commons Attribution 4.0 International Public License") :].rpartition("=====")[0] or text)
+    if name.startswith("BSD"):
+        texts.append(re.sub(r"(?m)^\d\. ", "* ", text))
+        clauses = name[4]
+        texts += [f"{title}\n\n{x}" for title in (f"BSD {clauses}-Clause License", f"The BSD {clauses}-Clause License", "BSD License") for x in texts[:]]
+    if name == "Unlicense":
+        texts.append(f"The Unlicense\n\n{text}")
+    return ((name, x) for x in texts)
+
+
+def _whole() -> Iterator[tuple[str, str]]:
+    for path in sorted(_FILES.glob("*.txt")):
+        name, text = path.stem.removesuffix("-Regents"), path.read_text("utf-8")
+        yield from _variants(name, text)
+        if path.stem == "BSD-3-Clause":
+            yield from _variants("BSD-2-Clause", re.sub(r"(?ms)^3\. .*?\n\n", "", text))
+
+
+KNOWN += _whole()

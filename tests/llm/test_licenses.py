@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pytest
+
 from dittograph.llm import licenses as L
 from dittograph.llm.license_texts import KNOWN
 
@@ -28,3 +32,20 @@ def test_ties_nulls_and_empty_tables(spark, odd, nothing):
     assert found(docs, known=known, broadcast_rows=0) == {(1, 0, "A")}
     assert found(docs, known=known.limit(0)) == set()
     assert found(odd) == set() and found(nothing) == set()
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+def test_whole_texts(make):
+    """Entire texts as the system ships them, and as projects file them, by the default table."""
+    if not COMMON.is_dir():
+        pytest.skip("no licence texts on this system")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    texts = [(COMMON / n).read_text() for n in names]
+    texts.append("BSD 2-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + next(t for n, t in KNOWN if n == "BSD-2-Clause"))
+    texts.append(texts[0].partition("APPENDIX")[0])
+    texts += [next(t for n, t in KNOWN if n == want).upper() for want in ("Unlicense", "CC-BY-4.0")]
+    got = {(i, n) for i, line, n in found(make(list(enumerate(texts)))) if line == 0}
+    assert got == set(enumerate([*names.values(), "BSD-2-Clause", "Apache-2.0", "Unlicense", "CC-BY-4.0"]))
+    assert "Neither the name" not in texts[len(names)]
