@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import json
 import uuid
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Bytes of text in a group: what one task packs.
 GROUP_BYTES = 16 << 20
 _ROW = "grp int, row int, ids binary, n_tokens int, cu_seqlens array<int>, positions binary, doc_ids array<long>, doc_starts array<long>"
+_INDEX = "grp int, row int, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+_READ_ROWS = 256
 
 
 class RoomTree:
@@ -154,13 +159,38 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
     rows without loss. Other columns are not read; an empty table gives no rows.
     One shuffle, of the texts.
     """
+    return _by_group(docs, group_bytes).applyInArrow(_packed(_ranks(vocabulary), length, end), _ROW)
+
+
+def _ranks(vocabulary: str) -> bytes:
     with open(vocabulary, "rb") as f:
-        ranks = f.read()
+        return f.read()
+
+
+def _by_group(docs: DataFrame, group_bytes: int):
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
     grp = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
-    return texts.withColumn("grp", grp).groupBy("grp").applyInArrow(_packed(ranks, length, end), _ROW)
+    return texts.withColumn("grp", grp).groupBy("grp")
+
+
+def _saved(table: pa.Table, uri: str, length: int, pad: int) -> None:
+    """Write the files of one group, whose rows are in order."""
+    fs, root = pafs.FileSystem.from_uri(uri)
+    grp = table.column("grp")[0].as_py()
+    ids, places = np.full((table.num_rows, length), pad, "<u4"), np.zeros((table.num_rows, length), "<u4")
+    for k, (a, b) in enumerate(zip(table.column("ids"), table.column("positions"))):
+        a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
+        ids[k, : len(a)], places[k, : len(b)] = a, b
+    cuts = table.column("cu_seqlens").combine_chunks()
+    shape = {"rows": table.num_rows, "length": length, "segments": [len(c) - 1 for c in table.column("cu_seqlens").to_pylist()]}
+    files = {f"ids-{grp:06d}.bin": ids.tobytes(), f"positions-{grp:06d}.bin": places.tobytes(), f"cu-{grp:06d}.bin": np.asarray(cuts.flatten(), "<u4").tobytes(), f"{grp:06d}.json": json.dumps(shape).encode()}
+    for name, data in files.items():
+        tmp = f"{root}/.tmp-{name}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(tmp) as out:
+            out.write(data)
+        fs.move(tmp, f"{root}/{name}")
 
 
 def write_matrices(rows: DataFrame, uri: str, length: int = LENGTH, pad: int = END) -> DataFrame:
@@ -173,23 +203,52 @@ def write_matrices(rows: DataFrame, uri: str, length: int = LENGTH, pad: int = E
     """
 
     def run(table: pa.Table) -> pa.Table:
-        fs, root = pafs.FileSystem.from_uri(uri)
         grp = table.column("grp")[0].as_py()
-        table = table.sort_by("row")
-        ids, places = np.full((table.num_rows, length), pad, "<u4"), np.zeros((table.num_rows, length), "<u4")
-        for k, (a, b) in enumerate(zip(table.column("ids"), table.column("positions"))):
-            a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
-            ids[k, : len(a)], places[k, : len(b)] = a, b
-        cuts = table.column("cu_seqlens").combine_chunks()
-        shape = {"rows": table.num_rows, "length": length, "segments": [len(c) - 1 for c in table.column("cu_seqlens").to_pylist()]}
-        files = {f"ids-{grp:06d}.bin": ids.tobytes(), f"positions-{grp:06d}.bin": places.tobytes(), f"cu-{grp:06d}.bin": np.asarray(cuts.flatten(), "<u4").tobytes(), f"{grp:06d}.json": json.dumps(shape).encode()}
-        for name, data in files.items():
-            tmp = f"{root}/.tmp-{name}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
-            with fs.open_output_stream(tmp) as out:
-                out.write(data)
-            fs.move(tmp, f"{root}/{name}")
+        _saved(table.sort_by("row"), uri, length, pad)
         return pa.table({"file": [f"ids-{grp:06d}.bin"], "grp": pa.array([grp], pa.int32()), "n_rows": pa.array([table.num_rows], pa.int64()), "n_tokens": pa.array([sum(table.column("n_tokens").to_pylist())], pa.int64())})
 
     fs, root = pafs.FileSystem.from_uri(uri)
     fs.create_dir(root, recursive=True)
     return rows.groupBy("grp").applyInArrow(run, "file string, grp int, n_rows long, n_tokens long")
+
+
+def _read_back(uri: str, length: int):
+    """Rows of the index with their ids and positions, from the matrices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _READ_ROWS):
+                part = batch.slice(at, _READ_ROWS)
+                out: dict[str, list[bytes]] = {"ids": [], "positions": []}
+                grps = np.asarray(part.column("grp"))
+                rows, tokens = np.asarray(part.column("row")), np.asarray(part.column("n_tokens"))
+                for begin, end in pairwise([0, *(np.flatnonzero(np.diff(grps)) + 1).tolist(), len(grps)]):
+                    for kind, held in out.items():
+                        with fs.open_input_file(f"{root}/{kind}-{grps[begin]:06d}.bin") as f:
+                            for row, n in zip(rows[begin:end].tolist(), tokens[begin:end].tolist()):
+                                held.append(f.read_at(4 * n, 4 * length * row))
+                columns = {name: part.column(name) for name in part.schema.names} | {k: pa.array(v, pa.binary()) for k, v in out.items()}
+                yield pa.RecordBatch.from_arrays([columns[name] for name in _NAMES], names=_NAMES)
+
+    return run
+
+
+def write(docs: DataFrame, uri: str, length: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Pack ``docs`` and write the matrices of :func:`write_matrices` at ``uri``; returns the rows of :func:`packed`.
+
+    Each group's files are written by the task that packs it, so nothing more is shuffled.
+    ``index`` below ``uri`` has the rows without ids and positions, which are read
+    from the matrices when the result is. All is written before this returns.
+    """
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(root, recursive=True)
+    pack_group = _packed(_ranks(vocabulary), length, end)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = pack_group(table)
+        _saved(rows, uri, length, end)
+        return rows.drop_columns(["ids", "positions"])
+
+    _by_group(docs, group_bytes).applyInArrow(run, _INDEX).write.mode("overwrite").parquet(f"{uri}/index")
+    return docs.sparkSession.read.schema(_INDEX).parquet(f"{uri}/index").mapInArrow(_read_back(uri, length), _ROW)

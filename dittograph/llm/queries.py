@@ -21,7 +21,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packing.write(_table(spark, sf_dir, "documents"), fresh(spark, "packed"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,21 @@ def test_matrices(make, tmp_path):
             assert ids[k, : r.n_tokens].tobytes() == r.ids and places[k, : r.n_tokens].tobytes() == r.positions
             assert (ids[k, r.n_tokens :] == P.END).all()
     assert not list((tmp_path / "m").glob(".tmp*"))
+
+
+def test_query_writes_the_matrices(monkeypatch, spark, tmp_path, make, nothing):
+    from dittograph.llm import queries as Q
+
+    docs, uri = make([(k, prose(k, 400)) for k in range(40)]), f"file://{tmp_path}/m"
+    monkeypatch.setattr(Q, "fresh", lambda spark, name: uri)
+    monkeypatch.setattr(Q, "_table", lambda *a: docs)
+    rows = Q.op2_packing(spark, "").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, P.packed(docs).collect()))
+    ids, places = (np.fromfile(tmp_path / "m" / f"{k}-000000.bin", "<u4").reshape(len(rows), P.LENGTH) for k in ("ids", "positions"))
+    for r in rows:
+        assert ids[r.row, : r.n_tokens].tobytes() == r.ids and places[r.row, : r.n_tokens].tobytes() == r.positions
+        assert (ids[r.row, r.n_tokens :] == P.END).all() and not places[r.row, r.n_tokens :].any()
+    assert json.loads((tmp_path / "m" / "000000.json").read_text())["rows"] == len(rows)
+    several = P.write(docs, f"file://{tmp_path}/s", 256, group_bytes=20_000).collect()
+    assert sorted(map(str, several)) == sorted(map(str, P.packed(docs, 256, group_bytes=20_000).collect())) and len({r.grp for r in several}) > 1
+    assert P.write(nothing, f"file://{tmp_path}/n").collect() == []
