@@ -1,9 +1,12 @@
 """Language-model scores by online logistic context mixing: total bits per byte.
 
-The corpus is read twice. First, every task counts, for each context order,
+The corpus is read three times. First, the distinct contexts of each order are
+counted (those whose hash falls into a fixed share of all hashes stand for the rest), and each
+order gets a table of at least as many rows. Then every task counts, for each context order,
 which half-byte follows which hashed context, over all its texts; the counts of
-all tasks are summed by a shuffle into one table of bit predictions for each order,
-of a size that is a parameter. Then every text is coded bit by bit: the
+all tasks are summed by a shuffle into one table of bit predictions for each order.
+Tables that are too large to send out go to a file in the shared folder, which tasks read by
+slices. Then every text is coded bit by bit: the
 predictions of all orders are combined in the logistic domain by weights that
 are gated by the bit's place in its byte and learn from each bit coded; an
 adaptive probability map refines the result, and its logarithm is the cost.
@@ -15,20 +18,28 @@ sees the bytes before it as context. No text is cut or sampled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from dittograph.llm import flat
+from dittograph.storage import dropped, fresh, written
 
 #: Bytes of context of each predictor.
 ORDERS = (1, 2, 3, 5)
-#: Entries of each order's table, as a power of two; what is sent to executors is this many bytes an order.
-TABLE_BITS = 22
+#: One distinct context in so many, by its hash, is counted to size the tables.
+_SHARE = 64
+#: Bytes of all tables up to which they are sent to executors; larger ones are read from a file by slices of ``_SLICE`` entries.
+BROADCAST_BYTES = 64 << 20
+_SLICE = 1 << 24
+#: Entries of a table, as a power of two, up to which a task counts in an array, else in sorted runs of about ``_RUN`` entries.
+DENSE_BITS, _RUN = 25, 4 << 20
 BLOCK = 4096
 RATE, START, SCALE, PRIOR = np.float32(0.02), np.float32(0.4), 12, 0.4
 _MAP_RATE, _MAP_CELLS = np.float32(0.02), 24
@@ -39,17 +50,12 @@ _PART = 16  # a table travels in parts of 2 ** _PART entries
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float32)
 
 
-def entries(raw: np.ndarray, at: np.ndarray, orders: tuple[int, ...], table_bits: int = TABLE_BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each order its number and the table entries of the two halves of each byte.
-
-    An entry is 16 times a hash of the ``order`` bytes before the byte in its text
-    (and, for the lower half, of the upper one) plus the half itself.
-    """
+def _hashes(raw: np.ndarray, at: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order its number and the hashes of the contexts of the two halves of each byte."""
     h = np.full(len(raw), 1, np.uint64)
-    shift, four = np.uint64(64 - table_bits + 4), np.uint64(4)
     begin = at[:-1][np.diff(at) > 0]
     end = at[1:][np.diff(at) > 0]
-    high, low = (raw >> 4).astype(np.uint64), (raw & 15).astype(np.uint64)
+    high = (raw >> 4).astype(np.uint64)
     for k in range(1, max(orders) + 1):
         before = np.zeros(len(raw), np.uint64)
         before[k:] = raw[: len(raw) - k]
@@ -60,36 +66,106 @@ def entries(raw: np.ndarray, at: np.ndarray, orders: tuple[int, ...], table_bits
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if k in orders:
-            upper = h * np.uint64(0xBF58476D1CE4E5B9)
-            lower = (h + np.uint64(1) + high) * np.uint64(0xD6E8FEB86659FD93)
-            for x, half in ((upper, high), (lower, low)):
-                x >>= shift
-                x <<= four
-                x |= half
-            yield orders.index(k), upper.view(np.int64), lower.view(np.int64)
+            yield orders.index(k), h * np.uint64(0xBF58476D1CE4E5B9), (h + np.uint64(1) + high) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def entries(raw: np.ndarray, at: np.ndarray, orders: tuple[int, ...], table_bits: int | Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order its number and the table entries of the two halves of each byte.
+
+    An entry is 16 times a hash of the ``order`` bytes before the byte in its text
+    (and, for the lower half, of the upper one) plus the half itself.
+    """
+    bits, four = _each(orders, table_bits), np.uint64(4)
+    high, low = (raw >> 4).astype(np.uint64), (raw & 15).astype(np.uint64)
+    for j, upper, lower in _hashes(raw, at, orders):
+        for x, half in ((upper, high), (lower, low)):
+            x >>= np.uint64(64 - bits[j] + 4)
+            x <<= four
+            x |= half
+        yield j, upper.view(np.int64), lower.view(np.int64)
+
+
+def _each(orders: tuple[int, ...], table_bits: int | Sequence[int]) -> tuple[int, ...]:
+    return (table_bits,) * len(orders) if isinstance(table_bits, int) else tuple(table_bits)
+
 
+def _distinct(orders: tuple[int, ...]):
+    """Hashes of a task's contexts that fall into the share."""
 
-def _counted(orders: tuple[int, ...], table_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[np.empty(0, np.uint64)] for _ in orders]
+        for batch in batches:
+            for part in flat.chunks(batch, "text"):
+                raw, at = flat.utf8(part.column("text"))
+                if len(raw):
+                    for j, *both in _hashes(raw, at, orders):
+                        held[j] += [x[(x >> np.uint64(24)) % np.uint64(_SHARE) == 0] for x in both]
+                        if sum(map(len, held[j])) > 1 << 20 or len(held[j]) > 64:
+                            held[j] = [np.unique(np.concatenate(held[j]))]
+        for j, found in enumerate(held):
+            found = np.unique(np.concatenate(found))
+            for begin in range(0, len(found), 1 << 16):
+                x = found[begin : begin + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), j, np.int32)), pa.array(x.view(np.int64))], ["predictor", "hash"])
+
+    return run
+
+
+def sized(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> tuple[int, ...]:
+    """Entries of each order's table, as a power of two: at least a row of 16 for each distinct context of ``docs``."""
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_distinct(orders), "predictor int, hash long")
+    n = dict(found.groupBy("predictor").agg(F.count_distinct("hash")).toLocalIterator())
+    # a few more than the share stands for, so that chance doesn't make the table too small
+    return tuple(max(_PART, 4 + math.ceil(math.log2(_SHARE * (c + 3 * math.sqrt(c) + 1)))) for c in (n.get(j, 0) for j in range(len(orders))))
+
+
+def _batch(k: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts ``n`` of ascending entries ``at`` of order ``k``, in parts."""
+    parts, begin = np.unique(at >> _PART, return_index=True)
+    low, n, end = at.astype(np.uint16), n.astype(np.uint32), [*begin[1:].tolist(), len(at)]
+    rows = [(k, p, low[i:j].tobytes(), n[i:j].tobytes()) for p, i, j in zip(parts.tolist(), begin.tolist(), end)]
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["predictor", "part", "at", "n"])
+
+
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at, n = (np.concatenate(x) for x in zip(*runs))
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    return at[first], np.add.reduceat(n, first) if len(at) else n
+
+
+def _counted(orders: tuple[int, ...], table_bits: int | Sequence[int], dense_bits: int = DENSE_BITS, most: int = _RUN):
     """Counts of all texts of a task, in parts, without the entries that are 0."""
+    bits = _each(orders, table_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, one = np.zeros((len(orders), 1 << table_bits), np.uint32), np.uint32(1)
+        one = np.uint32(1)
+        dense = {k: np.zeros(1 << b, np.uint32) for k, b in enumerate(bits) if b <= dense_bits}
+        runs: dict[int, list] = {k: [] for k in range(len(bits)) if k not in dense}
         for batch in batches:
             for part in flat.chunks(batch, "text"):
                 raw, at = flat.utf8(part.column("text"))
                 if len(raw):
-                    for k, high, low in entries(raw, at, orders, table_bits):
-                        np.add.at(counts[k], high, one)
-                        np.add.at(counts[k], low, one)
-        for k in range(len(orders)):
-            rows = []
-            for p in range(1 << max(0, table_bits - _PART)):
-                here = counts[k, p << _PART : (p + 1) << _PART]
-                at = np.flatnonzero(here)
-                if len(at):
-                    rows.append((k, p, at.astype(np.uint16).tobytes(), here[at].tobytes()))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["predictor", "part", "at", "n"])
+                    for k, high, low in entries(raw, at, orders, bits):
+                        if k in dense:
+                            np.add.at(dense[k], high, one)
+                            np.add.at(dense[k], low, one)
+                            continue
+                        runs[k].append(np.unique(np.concatenate([high, low]), return_counts=True))
+                        if sum(len(x) for x, _ in runs[k]) > most:
+                            runs[k] = [_merged(runs[k])]
+                            if len(runs[k][0][0]) > most // 2:
+                                yield _batch(k, *runs.pop(k)[0])
+                                runs[k] = []
+        for k, counts in dense.items():
+            for begin in range(0, len(counts), _SLICE):
+                here = np.flatnonzero(counts[begin : begin + _SLICE])
+                yield _batch(k, begin + here, counts[begin + here])
+        for k, held in runs.items():
+            if held:
+                yield _batch(k, *_merged(held))
 
     return run
 
@@ -117,26 +193,81 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["predictor", "part", "logits"])
 
 
-def gathered(docs: DataFrame, orders: tuple[int, ...] = ORDERS, table_bits: int = TABLE_BITS) -> np.ndarray:
-    """One row of predictions for each order, from all texts of ``docs``."""
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(orders, table_bits), "predictor int, part int, at binary, n binary")
-    sums = parts.repartition("predictor", "part").mapInArrow(_summed, "predictor int, part int, logits binary")
-    table = np.zeros((len(orders), 1 << table_bits), np.int8)
+class Filed:
+    """Tables of all orders in one file, order by order: what no worker holds as a whole."""
+
+    def __init__(self, uri: str, bits: tuple[int, ...]):
+        self.uri, self.bits = uri, bits
+
+    def take(self, wanted: Iterator[tuple[int, np.ndarray, np.ndarray]], logits: np.ndarray) -> None:
+        """Fill ``logits`` (order, byte, half, 4) with the predictions on the way to the entries ``wanted``."""
+        fs, path = pafs.FileSystem.from_uri(self.uri)
+        with fs.open_input_file(path) as f:
+            for j, *both in wanted:
+                size, begin = 1 << self.bits[j], sum(1 << b for b in self.bits[:j])
+                for half, entry in enumerate(both):
+                    place = entry // _SLICE
+                    order = np.argsort(place.astype(np.uint16), kind="stable")
+                    edge = np.searchsorted(place[order], np.arange(-(-size // _SLICE) + 1))
+                    for k in np.flatnonzero(np.diff(edge)).tolist():
+                        own = order[edge[k] : edge[k + 1]]
+                        table = np.frombuffer(f.read_at(min(_SLICE, size), begin + k * _SLICE), np.int8)
+                        row, nibble = (entry[own] - k * _SLICE) & ~15, entry[own] & 15
+                        for depth in range(4):
+                            logits[j, own, half, depth] = table[row | (1 << depth) | (nibble >> (4 - depth))]
+
+
+def _filed(sums: DataFrame, bits: tuple[int, ...]) -> Filed:
+    """Write the tables one part after the other; parts that nothing was counted in are 0."""
+    uri = fresh(sums.sparkSession, "tables")
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    rows, width = sums.orderBy("predictor", "part").toLocalIterator(), 1 << _PART
+    row = next(rows, None)
+    with fs.open_output_stream(path) as out:
+        for k, b in enumerate(bits):
+            for p in range(1 << (b - _PART)):
+                here = row is not None and (row.predictor, row.part) == (k, p)
+                out.write(row.logits if here else bytes(width))
+                row = next(rows, None) if here else row
+    return Filed(uri, bits)
+
+
+def gathered(docs: DataFrame, orders: tuple[int, ...] = ORDERS, table_bits: int | None = None, broadcast_bytes: int | None = None, dense_bits: int = DENSE_BITS) -> np.ndarray | list[np.ndarray] | Filed:
+    """One row of predictions for each order, from all texts of ``docs``.
+
+    Without ``table_bits`` each order's table has the size that :func:`sized` finds; tables of more
+    than ``broadcast_bytes`` in all are in a file.
+    """
+    bits = sized(docs, orders) if table_bits is None else _each(orders, table_bits)
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(orders, bits, dense_bits), "predictor int, part int, at binary, n binary")
+    tasks = max(8, sum(1 << max(0, b - _PART) for b in bits) // 32)
+    sums = parts.repartition(tasks, "predictor", "part").mapInArrow(_summed, "predictor int, part int, logits binary")
+    if table_bits is None and sum(1 << b for b in bits) > (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        held = written(sums, "sums")
+        table = _filed(held, bits)
+        dropped(held)
+        return table
+    tables = [np.zeros(1 << b, np.int8) for b in bits]
     for row in sums.toLocalIterator():
-        here = table[row.predictor, row.part << _PART : (row.part + 1) << _PART]
+        here = tables[row.predictor][row.part << _PART : (row.part + 1) << _PART]
         here[:] = np.frombuffer(row.logits, np.int8)[: len(here)]
-    return table
+    return tables if table_bits is None else np.stack(tables)
 
 
-def paths(table: np.ndarray) -> np.ndarray:
-    """For each order and entry the four predictions on the way to that half-byte, as one uint32."""
+def paths(table: np.ndarray | list[np.ndarray] | Filed) -> np.ndarray | list[np.ndarray] | Filed:
+    """For each order and entry the four predictions on the way to that half-byte, as one uint32; of a file, itself."""
+    if isinstance(table, Filed):
+        return table
+    if isinstance(table, list):
+        return [paths(t[None])[0] for t in table]
     half = np.arange(16)
     nodes = (1 << np.arange(4)) | (half[:, None] >> (4 - np.arange(4)))
     rows = table.reshape(len(table), -1, 16)[:, :, nodes.ravel()]
     return np.ascontiguousarray(rows).view(np.uint32).reshape(table.shape)
 
 
-def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray, orders: tuple[int, ...], block: int = BLOCK) -> np.ndarray:
+def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray | list[np.ndarray] | Filed, orders: tuple[int, ...], block: int = BLOCK) -> np.ndarray:
     """Bits that each text costs under the predictions ``path`` of :func:`paths`."""
     size = np.diff(at)
     lanes = -(-size // block)
@@ -155,9 +286,12 @@ def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray, orders: tuple[
     step = np.repeat(np.arange(length[0]), alive)
     turn = start[np.arange(edge[-1]) - edge[step]] + step
     logits = np.empty((k, len(raw), 2), np.uint32)
-    for j, high, low in entries(raw, at, orders, int(path.shape[1]).bit_length() - 1):
-        path[j].take(high[turn], out=logits[j, :, 0], mode="clip")
-        path[j].take(low[turn], out=logits[j, :, 1], mode="clip")
+    if isinstance(path, Filed):
+        path.take(((j, high[turn], low[turn]) for j, high, low in entries(raw, at, orders, path.bits)), logits.view(np.int8).reshape(k, len(raw), 2, 4))
+    else:
+        for j, high, low in entries(raw, at, orders, [len(p).bit_length() - 1 for p in path]):
+            path[j].take(high[turn], out=logits[j, :, 0], mode="clip")
+            path[j].take(low[turn], out=logits[j, :, 1], mode="clip")
     logits = logits.view(np.int8).reshape(k, len(raw) * 8)
     bits = _BITS[raw[turn]].ravel()
     zeros = 1 - bits
@@ -202,7 +336,7 @@ def block_bits(raw: np.ndarray, at: np.ndarray, path: np.ndarray, orders: tuple[
     return np.bincount(text, total, minlength=len(size))
 
 
-def scored(docs: DataFrame, table: np.ndarray, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+def scored(docs: DataFrame, table: np.ndarray | list[np.ndarray] | Filed, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """``docs`` with ``bytes``, ``bits`` and ``bits_per_byte`` of each text under the predictions ``table``."""
     names = [c for c in docs.columns if c not in ("bytes", "bits", "bits_per_byte")]
     picked = docs.select([F.col(f"`{c}`") for c in names])
@@ -224,7 +358,7 @@ def scored(docs: DataFrame, table: np.ndarray, orders: tuple[int, ...] = ORDERS)
     return picked.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, orders: tuple[int, ...] = ORDERS, table_bits: int = TABLE_BITS) -> DataFrame:
+def score(docs: DataFrame, orders: tuple[int, ...] = ORDERS, table_bits: int | None = None) -> DataFrame:
     """``docs`` with ``bytes``, ``bits`` and ``bits_per_byte`` of each text, predicted from all texts of ``docs``.
 
     A null text has nulls; an empty one 0 bytes, 0 bits and a null rate. Ids may be

@@ -102,3 +102,16 @@ def test_predictable_text_costs_less(make):
     noise = "".join(chr(33 + int(x)) for x in np.random.default_rng(0).integers(0, 90, 3000))
     got = {r.doc_id: r.bits_per_byte for r in M.score(make([*((k, prose(k, 300)) for k in range(20)), (99, noise)]), (1, 2, 3), 18).collect()}
     assert max(v for k, v in got.items() if k != 99) < got[99]
+
+
+def test_tables_grow_with_the_corpus(make):
+    """As many rows as distinct contexts, however many; a table in a file and counts in runs give the same bits."""
+    noise = ["".join(map(chr, np.random.default_rng(k).integers(33, 123, 60_000))) for k in range(8)]
+    distinct = len({(t[max(0, k - 5) : k], u) for t in noise for k in range(len(t)) for u in (None, ord(t[k]) >> 4)})
+    docs = make([*enumerate(noise), (98, ""), (99, None)])
+    tables = M.gathered(docs)
+    assert distinct > 1 << 18 and len(tables[-1]) >= 16 * distinct and len(tables[0]) < len(tables[-1])
+    filed = M.gathered(docs, broadcast_bytes=0, dense_bits=0)
+    assert isinstance(filed, M.Filed)
+    want = sorted(map(tuple, M.scored(docs, tables).select("doc_id", "bits").collect()))
+    assert sorted(map(tuple, M.scored(docs, filed).select("doc_id", "bits").collect())) == want
