@@ -1,117 +1,211 @@
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dittograph.llm import context_mixing as M
-from dittograph.llm import flat
 
 from .conftest import prose
 
-ORDERS, BITS = (1, 2), 12
-
-
-def row_of(context, order, upper=None):
-    """The table row of a context, one byte at a time in plain integers."""
-    full, h = (1 << 64) - 1, 1
-    for k in range(1, order + 1):
-        h = (h + (context[-k] if k <= len(context) else 256)) * 0x9E3779B97F4A7C15 & full
-        h ^= h >> 29
-    h = h * 0xBF58476D1CE4E5B9 & full if upper is None else (h + 1 + upper) * 0xD6E8FEB86659FD93 & full
-    return h >> (64 - BITS + 4)
-
-
-def halves(text):
-    raw = text.encode()
-    for k, byte in enumerate(raw):
-        yield k, raw[:k], None, byte >> 4
-        yield k, raw[:k], byte >> 4, byte & 15
-
-
-def brute(texts, block):
-    """Bits of each text, bit by bit."""
-    counts = {}
-    for text in texts:
-        for _, context, upper, half in halves(text):
-            for o in ORDERS:
-                counts.setdefault((o, row_of(context, o, upper)), [0] * 16)[half] += 1
+FULL = (1 << 64) - 1
+RANGE = 0
+
+
+def mixed(h):
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & FULL
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & FULL
+    return h ^ h >> 33
+
+
+def context(before, k):
+    """Hash of a context, in plain integers."""
+    own = before[-k:] if k else b""
+    c = sum(b << 8 * j for j, b in enumerate(reversed(own)))
+    if len(own) < k:
+        c |= (len(own) + 1) << 56
+    c = c * (0x9E3779B97F4A7C15 + 2 * k) & FULL
+    c ^= c >> 31
+    return (c * 0xD6E8FEB86659FD93 & FULL) >> 24
+
+
+def row_name(h, high):
+    low = (h * 32 + (0 if high is None else high + 1)) * 0xBF58476D1CE4E5B9 & FULL
+    low ^= low >> 29
+    return low * 0x94D049BB133111EB & FULL
+
+
+class Table:
+    """One order's rows for one half, from the texts of the other one."""
+
+    def __init__(self, texts, k, rows):
+        upper, lower = defaultdict(lambda: [0] * 16), defaultdict(lambda: [0] * 16)
+        for raw in texts:
+            for i, byte in enumerate(raw):
+                h = context(raw[:i][-k:], k)
+                upper[row_name(h, None)][byte >> 4] += 1
+                lower[row_name(h, byte >> 4)][byte & 15] += 1
+        self.n, self.slots = len(upper) + len(lower), {}
+        self.all = sorted([*sorted(upper.items()), *sorted(lower.items())], key=lambda x: sum(x[1]))
+        self.size(rows)
+
+    def size(self, rows):
+        self.rows = rows
+        self.slots = {(name >> 32) * rows >> 32: (name, counts) for name, counts in self.all}
+
+    def logit(self, h, high, half, depth):
+        name = row_name(h, high)
+        found, c = self.slots.get((name >> 32) * self.rows >> 32, (None, None))
+        if found is None or (found ^ name) >> 4 & 255:
+            return 0.0
+        width, prefix = 8 >> depth, half >> (4 - depth)
+        zero, one = (sum(c[(2 * prefix + b) * width : (2 * prefix + b + 1) * width]) for b in (0, 1))
+        return max(-127, min(127, round(M.SCALE * math.log((one + M.PRIOR) / (zero + M.PRIOR)))))
+
+
+def byte_bits(raw, tables, orders):
+    """Bits of each byte, one bit after the other."""
+    weights = {(o, b): float(M.START) * 2 / len(orders) / M.SCALE * M._FINE for o in orders for b in range(8)}
+    logistic = lambda q: 1 / (1 + math.exp(-(q / M._FINE - M._CLIP)))
+    cells = {(b, c): logistic(min((c << M._SHARED) + (1 << M._SHARED - 1), 2 * M._CLIP * M._FINE)) for b in range(8) for c in range(M._CELLS)}
+    out = []
+    for begin in range(0, len(raw), M.STEP):
+        dw, dc = Counter(), Counter()
+        for i in range(begin, min(len(raw), begin + M.STEP)):
+            cost, byte = 0.0, raw[i]
+            for place in range(8):
+                half, high, depth = (byte >> 4, None, place) if place < 4 else (byte & 15, byte >> 4, place - 4)
+                bit = byte >> (7 - place) & 1
+                x = {o: tables[o].logit(context(raw[max(0, i - 8) : i], o), high, half, depth) for o in orders}
+                q = int(max(0.0, min(2.0 * M._CLIP * M._FINE, sum(weights[o, place] * x[o] for o in orders) + M._CLIP * M._FINE + 0.5)))
+                p, cell = logistic(q), (place, q >> M._SHARED)
+                mean = (p + cells[cell]) / 2
+                cost -= math.log2(max(1e-4, mean if bit else 1 - mean))
+                dc[cell] += (bit - cells[cell]) * float(M._MAP_RATE)
+                for o in orders:
+                    dw[o, place] += float(M.RATE) / M.SCALE**2 * M._FINE * (bit - p) * x[o]
+            out.append(cost)
+        for d, to in ((dw, weights), (dc, cells)):
+            for key, v in d.items():
+                to[key] += v
+    return out
 
-    def logit(o, row, prefix, depth):
-        c = counts[o, row]
-        width = 8 >> depth
-        zero = sum(c[prefix * 2 * width : prefix * 2 * width + width])
-        one = sum(c[prefix * 2 * width + width : (prefix * 2 + 2) * width])
-        return max(-127, min(127, round(M.SCALE * math.log((one + M.PRIOR) / (zero + M.PRIOR))))) / M.SCALE
 
+def segments(raw):
+    """(16 bytes before or None, segment, whether the text ends there, begin, end)."""
+    one = [(b + 1) * 0x9E3779B97F4A7C15 & FULL for b in raw]
+    one = [x ^ x >> 32 for x in one]
+    begins = [0]
+    for i in range(M.LONG, len(raw)):
+        h = sum(one[i - 1 - j] * pow(0xD6E8FEB86659FD93, j, 1 << 64) for j in range(M.LONG)) & FULL
+        if mixed(h) % M.DENSITY == 0:
+            begins.append(i)
+    ends = [*begins[1:], len(raw)]
+    return [(raw[i - M.LONG : i] if i else None, raw[i:j], j == len(raw), i, j) for i, j in zip(begins, ends) if j > i]
+
+
+def brute(rows, orders):
+    """Bits of each (half, text): counts of the other half, long contexts of all other texts."""
+    rows = [(h, t.encode()) for h, t in rows]
+    tables = {}
+    for half in (0, 1):
+        tables[half] = {o: Table([t for h, t in rows if h != half], o, 1) for o in orders}
+    for o in orders:
+        n = max(tables[h][o].n for h in (0, 1))
+        for h in (0, 1):
+            tables[h][o].size(M.ROOM * n // 2 + 16)
+    cut = [segments(t) for _, t in rows]
+    follow = [{x[:3] for x in s} for s in cut]
+    some = sum(bool(t) for _, t in rows)
     out = []
-    for text in texts:
-        total, seen = 0.0, None
-        for k, context, upper, half in halves(text):
-            if k // block != seen:
-                seen = k // block
-                weights = {(o, b): float(M.START) * 2 / len(ORDERS) for o in ORDERS for b in range(8)}
-                cells = {(b, c): 1 / (1 + math.exp(-(c - 12))) for b in range(8) for c in range(25)}
-            for depth in range(4):
-                place, bit, prefix = depth + 4 * (upper is not None), half >> (3 - depth) & 1, half >> (4 - depth)
-                x = {o: logit(o, row_of(context, o, upper), prefix, depth) for o in ORDERS}
-                dot = max(-11.0, min(11.0, sum(weights[o, place] * x[o] for o in ORDERS)))
-                p = 1 / (1 + math.exp(-dot))
-                cell = (place, int(np.float32(dot) + np.float32(12.5)))  # ties as in single precision
-                mean = (p + cells[cell]) / 2
-                total -= math.log2(max(1e-4, mean if bit else 1 - mean))
-                cells[cell] += (bit - cells[cell]) * 0.02
-                for o in ORDERS:
-                    weights[o, place] += float(M.RATE) * (bit - p) * x[o]
+    for k, (half, raw) in enumerate(rows):
+        each, total = byte_bits(raw, tables[half], orders), 0.0
+        for a, seg, end, i, j in cut[k]:
+            b = sum(each[i:j])
+            others = [f for n, f in enumerate(follow) if n != k]
+            n = sum((a, seg, end) in f for f in others)
+            m = some - 1 if a is None else sum(x[0] == a for f in others for x in f)
+            w = 0.5 if a is None else m / (m + M.UNSEEN)
+            total += b if not m else -math.log2(w * n / m + (1 - w) * 2**-b) if n or b < 900 else b - math.log2(1 - w)
         out.append(total)
     return out
 
 
-def test_bits_equal_brute_force(monkeypatch, spark, make):
-    texts = [prose(k, 10 + 9 * k) for k in range(6)] + ["", "x", "aaaaaaaaaaaaaaaaaaaaaaaa", "é日本"]
-    table = M.gathered(make(list(enumerate(texts))), ORDERS, BITS)
-    raw, at = flat.utf8(pa.array(texts))
-    for block in (4096, 50):
-        got = M.block_bits(raw, at, M.paths(table), ORDERS, block)
-        assert got == pytest.approx(brute(texts, block), rel=2e-3, abs=0.05)
+def test_bits_equal_brute_force(spark, make):
+    twin = prose(3, 120)
+    texts = [prose(k, 30 + 25 * k) for k in range(6)] + [twin, twin, twin[:500] + prose(9, 40), "", "x", "aaaaaaaaaaaaaaaaaaaaaaaa", "é日本", "x"]
+    docs = make(list(enumerate(texts)))
+    halves = dict(docs.select("doc_id", M.fold()).collect())
+    got = {r.doc_id: r.bits for r in M.score(docs).collect()}
+    want = brute([(halves[k], t) for k, t in enumerate(texts)], M.ORDERS)
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=3e-3, abs=0.3)
 
 
-def test_counts_cover_all_texts(spark, make):
-    a = M.gathered(make([(k, prose(k, 50)) for k in range(40)]).repartition(7), ORDERS, BITS)
-    b = M.gathered(make([(k, prose(k, 50)) for k in range(40)]).coalesce(1), ORDERS, BITS)
-    assert (a == b).all() and (a != M.gathered(make([(k, prose(k, 50)) for k in range(39)]), ORDERS, BITS)).any()
+def test_result_does_not_depend_on_partitions(make):
+    rows = [(k, prose(k % 30, 60)) for k in range(40)]
+    a, b = (sorted(map(tuple, M.score(make(rows).repartition(n)).select("doc_id", "bytes", "bits").collect())) for n in (1, 7))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b], abs=0.02)
 
 
 def test_odd_rows(odd, nothing):
-    out = M.score(odd, ORDERS, 14)
-    assert set(out.columns) == {*odd.columns, "bytes", "bits_per_byte"}
-    rows = out.collect()
-    assert len(rows) == odd.count()
+    out = M.score(odd)
+    assert set(out.columns) == {*odd.columns, "bytes", "bits_per_byte"} - {"text"}
+    rows, texts = out.collect(), odd.select("doc_id", F.octet_length("text").alias("n")).collect()
+    assert sorted((r.doc_id or 0, r.bytes or 0) for r in rows) == sorted((r.doc_id or 0, r.n or 0) for r in texts)
     for r in rows:
-        if r.text is None:
-            assert r.bytes is r.bits is r.bits_per_byte is None
+        if r.bytes is None:
+            assert r.bits is r.bits_per_byte is None
         else:
-            n = len(r.text.encode())
-            assert r.bytes == n and (r.bits > 0 if n else (r.bits == 0 and r.bits_per_byte is None))
+            assert r.bits > 0 if r.bytes else (r.bits == 0 and r.bits_per_byte is None)
     twice = [r.bits for r in rows if r.doc_id == 5]
     assert twice[0] == twice[1]
-    assert M.score(nothing, ORDERS, 14).collect() == []
+    assert M.score(nothing).collect() == []
 
 
-def test_predictable_text_costs_less(make):
+def test_twins_and_predictable_texts_cost_less(make):
     noise = "".join(chr(33 + int(x)) for x in np.random.default_rng(0).integers(0, 90, 3000))
-    got = {r.doc_id: r.bits_per_byte for r in M.score(make([*((k, prose(k, 300)) for k in range(20)), (99, noise)]), (1, 2, 3), 18).collect()}
-    assert max(v for k, v in got.items() if k != 99) < got[99]
+    texts = [*((k, prose(k, 300)) for k in range(40)), (99, noise), (100, prose(5, 300)), (101, "Before it. " + prose(6, 300) + " And after.")]
+    got = {r.doc_id: r.bits_per_byte for r in M.score(make(texts)).collect()}
+    alone = [v for k, v in got.items() if k < 40 and k not in (5, 6)]
+    assert max(got[k] for k in (5, 6, 100, 101)) < 0.3 * min(alone) and max(alone) < got[99]
+
+
+def test_a_long_text_goes_on_through_its_windows(monkeypatch, make):
+    """In windows or as a whole: the same state, so nearly the same bits; only a cut is added."""
+    texts = [*((k, prose(k, 200)) for k in range(9)), (50, prose(50, 4000))]
+    whole = {r.doc_id: r.bits for r in M.score(make(texts)).collect()}
+    cost = {}
+    pool = pa.RecordBatch.from_arrays([pa.array([prose(50, 4000)])], ["text"])
+    table = M.Tables("", (1,), (16,), 0)
+    maps = [np.zeros(32, np.complex128)]
+    for window in (1 << 20, 4096):
+        state, out = None, []
+        for _, _, raw, at, before in M.pieces(pool, window, 16):
+            state = state if before else M.State(1, 1)
+            out.append(M.mixed_bits(raw, at, np.zeros(1, np.int64), maps, table, state, min(16, before), before > 0)[min(16, before) :])
+        cost[window] = np.concatenate(out)
+    assert np.allclose(cost[1 << 20], cost[4096], atol=1e-3) and whole[50] > 0
 
 
 def test_tables_grow_with_the_corpus(make):
-    """As many rows as distinct contexts, however many; a table in a file and counts in runs give the same bits."""
-    noise = ["".join(map(chr, np.random.default_rng(k).integers(33, 123, 60_000))) for k in range(8)]
-    distinct = len({(t[max(0, k - 5) : k], u) for t in noise for k in range(len(t)) for u in (None, ord(t[k]) >> 4)})
-    docs = make([*enumerate(noise), (98, ""), (99, None)])
-    tables = M.gathered(docs)
-    assert distinct > 1 << 18 and len(tables[-1]) >= 16 * distinct and len(tables[0]) < len(tables[-1])
-    filed = M.gathered(docs, broadcast_bytes=0, dense_bits=0)
-    assert isinstance(filed, M.Filed)
-    want = sorted(map(tuple, M.scored(docs, tables).select("doc_id", "bits").collect()))
-    assert sorted(map(tuple, M.scored(docs, filed).select("doc_id", "bits").collect())) == want
+    """At least as many rows as distinct contexts, however many, in one or in several ranges."""
+    noise = ["".join(map(chr, np.random.default_rng(k).integers(33, 123, 40_000))) for k in range(8)]
+    small, large = (M.gathered(make([*enumerate(noise[:n]), (98, ""), (99, None)])) for n in (2, 8))
+    assert large.rows[-1] > 2.5 * small.rows[-1]
+    halves = dict(make(list(enumerate(noise))).select("doc_id", M.fold()).collect())
+    distinct = [len({(t[max(0, k - 5) : k], u) for n, t in enumerate(noise) if halves[n] == h for k in range(len(t)) for u in (None, ord(t[k]) >> 4)}) for h in (0, 1)]
+    assert large.rows[-1] >= 2 * max(distinct)
+
+
+def test_ranges_give_the_same_predictions(monkeypatch, make):
+    rows = [(k, prose(k, 150)) for k in range(30)]
+    one = {r.doc_id: r.bits for r in M.score(make(rows)).collect()}
+    monkeypatch.setattr(M, "RANGE_BYTES", 4000)
+    many = {r.doc_id: r.bits for r in M.score(make(rows)).collect()}
+    # in small tables other rows meet
+    assert [many[k] for k in one] == pytest.approx(list(one.values()), rel=0.05)
+    assert sum(many.values()) == pytest.approx(sum(one.values()), rel=0.01)
