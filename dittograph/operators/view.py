@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dittograph.functions.formatting import format_size
 from dittograph.functions.paths import matches
 
 #: Sorts within a group, as (column, descending).
@@ -52,12 +53,35 @@ def page(rows: DataFrame, order: list[Column], first_row: int, visible_rows: int
     return rows.orderBy(*order).offset(start).limit((first_row + visible_rows + overscan) * columns - start)
 
 
-def range_selected(rows: DataFrame, order: list[Column], key: str, a: object, b: object) -> DataFrame:
+def sorted_by(rows: DataFrame, column: str, descending: bool = False, as_text: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The whole view by any column, as a click on its header sorts it; sizes by value, or ``as_text`` by the text that is shown."""
+    key = format_size(F.col(column)) if as_text else F.col(column)
+    return rows.orderBy(key.desc() if descending else key.asc(), *ties)
+
+
+def _not_before(a: str, b: str, keys: list[tuple[str, bool]]) -> Column:
+    """Whether the keys of side ``a`` come after those of ``b``, or equal them; a null is less than all else."""
+    out = F.lit(True)
+    for name, down in reversed(keys):
+        x, y = F.col(f"{a}.{name}"), F.col(f"{b}.{name}")
+        if down:
+            x, y = y, x
+        after = (x.isNotNull() & y.isNull()) | F.coalesce(x > y, F.lit(False))
+        out = after | (x.eqNullSafe(y) & out)
+    return out
+
+
+def range_selected(rows: DataFrame, order: list[tuple[str, bool]], key: str, a: object, b: object) -> DataFrame:
     """Rows between those with keys ``a`` and ``b`` in ``order``, both included, whichever comes first.
 
-    The two ends' sort keys are looked up; the range is then a filter on
-    the sort key, so no row is numbered over the whole table.
+    ``order`` lists (column, descending). The two ends' sort keys are looked up; the
+    range is then a filter on the sort columns, so no row is numbered over the whole table.
     """
-    sort_key = F.struct(*order)
-    ends = rows.filter(F.col(key).isin(a, b)).agg(F.min(sort_key).alias("lo"), F.max(sort_key).alias("hi"))
-    return rows.withColumn("_key", sort_key).join(F.broadcast(ends), (F.col("_key") >= F.col("lo")) & (F.col("_key") <= F.col("hi"))).drop("_key", "lo", "hi")
+    by = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
+    names = [f"k{i}" for i in range(len(order))]
+    keys = F.struct(*[F.col(c).alias(n) for (c, _), n in zip(order, names)])
+    ends = rows.filter(F.col(key).isin(a, b)).select(keys.alias("k"), F.row_number().over(Window.orderBy(*by)).alias("n"))
+    ends = ends.agg(F.min_by("k", "n").alias("_lo"), F.max_by("k", "n").alias("_hi"))
+    directed = [(n, down) for n, (_, down) in zip(names, order)]
+    inside = _not_before("_key", "_lo", directed) & _not_before("_hi", "_key", directed)
+    return rows.withColumn("_key", keys).join(F.broadcast(ends), inside).drop("_key", "_lo", "_hi")

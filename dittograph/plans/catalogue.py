@@ -15,6 +15,9 @@ from dittograph.functions import formatting as fmt
 from dittograph.functions import paths
 from dittograph.functions.fingerprints import quick_hash
 from dittograph.operators import exact, policy, similar, view
+from dittograph.plans.similar_images import similar_images
+from dittograph.sources.images import write_gray_rows
+from dittograph.storage import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -293,7 +296,21 @@ def viewport_page(spark, sf_dir):
 
 @_query(f"WITH {_FILES} SELECT id, path, name, size FROM (SELECT *, row_number() OVER (ORDER BY path) AS r FROM files) WHERE r BETWEEN (SELECT min(r) FROM (SELECT id, row_number() OVER (ORDER BY path) AS r FROM files) WHERE id IN (150, 20)) AND (SELECT max(r) FROM (SELECT id, row_number() OVER (ORDER BY path) AS r FROM files) WHERE id IN (150, 20))")
 def range_select(spark, sf_dir):
-    return view.range_selected(files(spark, sf_dir), [F.col("path")], "id", 150, 20)
+    return view.range_selected(files(spark, sf_dir), [("path", False)], "id", 150, 20)
+
+
+_RANKED = _FILES + ", ranked AS (SELECT *, row_number() OVER (ORDER BY size DESC, path DESC) AS r FROM files)"
+
+
+@_query(f"WITH {_RANKED} SELECT id, path, name, size FROM ranked WHERE r BETWEEN (SELECT min(r) FROM ranked WHERE id IN (150, 20)) AND (SELECT max(r) FROM ranked WHERE id IN (150, 20))")
+def range_select_desc(spark, sf_dir):
+    return view.range_selected(files(spark, sf_dir), [("size", True), ("path", True)], "id", 150, 20)
+
+
+@_query(f"WITH {_FILES}, b AS (SELECT id, size * 1024 * id AS size FROM files) SELECT id, CAST(row_number() OVER (ORDER BY {_sql_size('size')} DESC, id) AS INTEGER) AS place FROM b")
+def sort_size_text(spark, sf_dir):
+    rows = view.sorted_by(files(spark, sf_dir).withColumn("size", F.col("size") * 1024 * F.col("id")), "size", True, True, ("id",))
+    return rows.select("id", F.row_number().over(Window.orderBy(fmt.format_size(F.col("size")).desc(), "id")).alias("place"))
 
 
 # -- similarity -------------------------------------------------------------------
@@ -341,11 +358,49 @@ def component_scores(spark, sf_dir):
     return similar.component_scores(edges, similar.similar_components(edges))
 
 
-@_query()
+_GREEDY = "WITH RECURSIVE " + _SSIM + (
+    ", e AS (SELECT i, j, hd, ssim, row_number() OVER (ORDER BY hd, i, j) AS k FROM scored WHERE ssim >= 0.3),"
+    " g AS (SELECT CAST(0 AS BIGINT) AS k, MAP {CAST(-1 AS BIGINT): CAST(-1 AS BIGINT)} AS m, MAP {CAST(-1 AS BIGINT): CAST(0 AS DOUBLE)} AS s UNION ALL"
+    " SELECT e.k, CASE WHEN g.m[e.i] IS NULL AND g.m[e.j] IS NULL THEN map_concat(g.m, MAP {e.i: e.i, e.j: e.i}) WHEN g.m[e.i] IS NULL THEN map_concat(g.m, MAP {e.i: g.m[e.j]})"
+    " WHEN g.m[e.j] IS NULL THEN map_concat(g.m, MAP {e.j: g.m[e.i]}) ELSE g.m END,"
+    " CASE WHEN g.m[e.i] IS NULL AND g.m[e.j] IS NULL THEN map_concat(g.s, MAP {e.i: e.ssim}) ELSE g.s END FROM g JOIN e ON e.k = g.k + 1),"
+    " last AS (SELECT m, s FROM g ORDER BY k DESC LIMIT 1), u AS (SELECT unnest(map_keys(m)) AS id, unnest(map_values(m)) AS group_id, s FROM last)"
+)
+
+
+@_query(f"{_GREEDY} SELECT id, group_id, s[group_id] AS score FROM u WHERE id >= 0")
 def similar_greedy(spark, sf_dir):
     return similar.greedy_groups(scored(spark, sf_dir).filter(F.col("ssim") >= EDGE))
 
 
+_PIXELS = "px AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(least(255.0, greatest(0.0, floor(127.5 + 40 * x))) AS INTEGER)) AS q FROM embeddings)"
+_IMAGE_RUN = "WITH RECURSIVE " + _PIXELS + (
+    ", h AS (SELECT id, list_transform(q, lambda x: x / 255.0) AS v, CAST(list_sum(list_transform(range(1, 64), lambda k: CASE WHEN q[k] < q[k + 1] THEN CAST(1 AS BIGINT) << (k - 1) ELSE 0 END)) AS BIGINT)"
+    " + CASE WHEN q[1] < q[2] THEN CAST(-9223372036854775808 AS BIGINT) ELSE 0 END AS hash FROM px),"
+    " o AS (SELECT id, v, hash, list_sum(v) / 64 AS m, list_sum(list_transform(v, lambda x: x * x)) / 64 AS s FROM h),"
+    " p AS (SELECT a.id AS i, b.id AS j, bit_count(xor(a.hash, b.hash)) AS hd, a.m AS ma, b.m AS mb, a.s AS sa, b.s AS sb, list_sum(list_transform(range(1, 65), lambda k: a.v[k] * b.v[k])) / 64 - a.m * b.m AS c"
+    " FROM o a JOIN o b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 25),"
+    " e AS (SELECT i, j FROM p WHERE (2 * ma * mb + 1e-4) * (2 * c + 9e-4) / ((ma * ma + mb * mb + 1e-4) * ((sa - ma * ma) + (sb - mb * mb) + 9e-4)) >= 0.4),"
+    " u AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e), r AS (SELECT a AS id, a AS seen FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.seen),"
+    " f AS (SELECT id, seen, lpad(CAST(seen AS VARCHAR), 8, '0') || '.png' AS name FROM r)"
+)
+
+
+def rendered_images(spark, sf_dir) -> str:
+    """Every embedding as an image of 64 equal rows, a PNG below the shared folder; returns the folder."""
+    root = fresh(spark, "png")
+    q = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(127.5 + 40 * x.cast("double")).cast("double"))).cast("int"))
+    rows = _table(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("name"), q.alias("q"))
+    rows.mapInArrow(write_gray_rows(root, 64), "file string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@_query(f"{_IMAGE_RUN} SELECT lpad(CAST(id AS VARCHAR), 8, '0') || '.png' AS image, min(name) AS group_name FROM f GROUP BY id")
+def similar_images_run(spark, sf_dir):
+    found = similar_images(spark, [rendered_images(spark, sf_dir)], bound=0.4)
+    return found.select(paths.file_name(F.col("path")).alias("image"), paths.file_name(F.col("group_id")).alias("group_name"))
+
+
 # -- policies ---------------------------------------------------------------------
 
 _IMAGES = (
@@ -417,7 +472,39 @@ def restore_failures_stay(spark, sf_dir):
     return policy.restored(log, tried).select("event_id")
 
 
-@_query(f"WITH {_FILES} SELECT f.path, f.name, g.path AS bin_path FROM files f JOIN (SELECT upper(name) AS name, path FROM files WHERE id % 10 = 0) g ON upper(f.name) = upper(g.name)")
+@_query("SELECT event_id, CASE WHEN event_id % 2 = 0 OR event_id % 5 = 0 THEN 'second' END AS error FROM events WHERE NOT (event_id % 2 = 0 AND event_id % 3 <> 0) AND NOT (event_id % 5 = 0 AND event_id % 7 = 0)")
+def restore_twice(spark, sf_dir):
+    """Two restores after each other; in the second, paths have several results, of which one that is ok counts."""
+    log = _table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("path"))
+    first = log.filter("event_id % 2 = 0").select("path", (F.col("event_id") % 3 != 0).alias("ok"), F.lit("first").alias("error"))
+    again = log.filter("event_id % 5 = 0 or event_id % 2 = 0")
+    failed = again.select("path", F.lit(False).alias("ok"), F.lit("second").alias("error"))
+    then = again.filter("event_id % 5 = 0").select("path", (F.col("event_id") % 7 == 0).alias("ok"), F.lit("third").alias("error"))
+    return policy.restored(policy.restored(log, first), failed.unionByName(then)).select("event_id", "error")
+
+
+@_query(f"WITH {_GONE}, bin AS (SELECT path, name FROM members WHERE rank_in_group > 2) SELECT f.path, f.name, g.path AS bin_path FROM bin f JOIN bin g ON upper(f.name) = upper(g.name)")
 def restore_matches(spark, sf_dir):
-    rows = files(spark, sf_dir)
-    return policy.restore_matches(rows, rows.filter("id % 10 = 0").withColumn("name", F.upper("name")))
+    """The bin holds what a plan deleted, names in other case."""
+    gone = _gone(spark, sf_dir)
+    return policy.restore_matches(gone, gone.withColumn("name", F.upper("name")))
+
+
+_LOGGED = "l AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS path, event_type AS name, CAST(event_id AS BIGINT) AS size, CAST(ts AS TIMESTAMP) AS deleted_at FROM events)"
+
+
+@_query(f"WITH {_GONE}, {_LOGGED}, a AS (SELECT path, name, size, deleted_at FROM l UNION ALL SELECT path, name, size, TIMESTAMP '2024-01-15 00:00:00' FROM members WHERE rank_in_group > 2) SELECT path, name, size, epoch(deleted_at) AS deleted_at FROM a ORDER BY a.deleted_at DESC, path LIMIT 30")
+def log_append(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.col("event_type").alias("name"), F.col("event_id").cast("long").alias("size"), F.col("ts").cast("timestamp").alias("deleted_at"))
+    return policy.logged(log, _gone(spark, sf_dir), F.to_timestamp(F.lit("2024-01-15 00:00:00"))).withColumn("deleted_at", F.unix_micros("deleted_at") / 1e6)
+
+
+@_query(f"{_COMPONENTS}, s AS (SELECT id, component, lpad(CAST(id AS VARCHAR), 8, '0') AS path, CAST(id % 7 AS BIGINT) AS size FROM comp), t AS (SELECT *, max(size) OVER (PARTITION BY component) AS top FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY CAST(size < top AS INTEGER), path) AS r FROM t),"
+    " left_ AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM k WHERE NOT (r > 1 AND id % 2 = 0)) SELECT path, component FROM left_ WHERE n > 1")
+def after_delete_similar(spark, sf_dir):
+    """Deletion inside groups of similar images: of those that a policy selects the even ids are deleted."""
+    groups = similar.similar_components(scored(spark, sf_dir).filter(F.col("ssim") >= EDGE))
+    rows = groups.select("id", "component", F.lpad(F.col("id").cast("string"), 8, "0").alias("path"), F.col("id").cast("string").alias("name"), (F.col("id") % 7).alias("size"))
+    chosen = policy.auto_select(rows, ["component"], ["path"], policy.Keep(False, False, True), "safe")
+    gone = policy.deletion_plan(policy.toggled(chosen, F.col("id") % 2 != 0, False))
+    return policy.after_deletion(rows, gone, ["component"]).select("path", "component")

@@ -18,13 +18,16 @@ def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, O
 @contextmanager
 def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
     """Actions inside carry a tag by which another thread can cancel them."""
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
-    """Cancel all running actions with a tag."""
-    return spark.interruptTag(tag)
+def cancel(spark: SparkSession, tag: str) -> list[int]:
+    """Cancel all jobs with a tag; returns the numbers of the jobs that run just then. The action that waits for one of them fails."""
+    found = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(tag)
+    running = set(spark.sparkContext.statusTracker().getActiveJobsIds()) & set(found)
+    spark.sparkContext.cancelJobsWithTag(tag)
+    return sorted(running)

@@ -1,8 +1,8 @@
 """The traps of duplicate search, one small case each."""
 
+import os
 import random
-import struct
-import zlib
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -34,7 +34,10 @@ def test_name_and_size_or_content(spark, tmp_path):
     assert exact.content_groups(scan).count() == 2 == exact.size_then_content(scan).count()
     nested = files.scan_files(spark, [str(tmp_path), str(tmp_path / "a")])
     assert nested.count() == scan.count() + 3
-    assert files.scan_files(spark, [str(tmp_path)], max_depth=0).count() == 0
+    (tmp_path / "top.txt").write_text("at the root")
+    assert [r.name for r in files.scan_files(spark, [str(tmp_path)], max_depth=0).collect()] == ["top.txt"]
+    assert files.scan_files(spark, [str(tmp_path) + "/"], max_depth=1).count() == 7
+    (tmp_path / "top.txt").unlink()
     assert "content" not in nested.columns and exact.visible(nested.withColumn("is_hidden", F.col("name") == "x.txt")).count() == nested.count() - 2
 
 
@@ -91,7 +94,12 @@ def test_list_and_grid_differ(spark):
     order = [F.col("ord")]
     assert [r.ord for r in view.list_view(rows, order, 2, "").orderBy("ord").collect()] == [1, 3]
     assert [r.ord for r in view.grid_view(rows, order, 2, "").collect()] == [1]
-    assert [r.ord for r in view.range_selected(rows, order, "ord", 3, 2).orderBy("ord").collect()] == [2, 3]
+    between = lambda keys, a, b: {r.ord for r in view.range_selected(rows, keys, "ord", a, b).collect()}
+    assert between([("ord", False)], 3, 2) == between([("ord", True)], 2, 3) == {2, 3}
+    assert between([("name", True), ("path", True)], 1, 4) == {1, 3, 4} and between([("path", False)], 2, 2) == {2}
+    some = spark.createDataFrame([(1, None), (2, 5), (3, 7), (4, None)], "ord int, size int")
+    pick = lambda down, a, b: {r.ord for r in view.range_selected(some, [("size", down), ("ord", False)], "ord", a, b).collect()}
+    assert pick(False, 4, 2) == {4, 2} and pick(True, 3, 1) == {3, 2, 1}
     assert [r.ord for r in view.page(rows, order, 1, 1, 1, 0).collect()] == [2]
 
 
@@ -116,6 +124,11 @@ def test_log(spark):
     tried = spark.createDataFrame([("/1", True, None), ("/2", False, "missing")], "path string, ok boolean, error string")
     left = {r.path: r.error for r in policy.restored(log, tried).collect()}
     assert "/1" not in left and left["/2"] == "missing" and left["/3"] is None
+    again = spark.createDataFrame([("/2", False, "still"), ("/2", True, None), ("/3", False, "b"), ("/3", False, "a")], "path string, ok boolean, error string")
+    twice = {r.path: r.error for r in policy.restored(policy.restored(log, tried), again).collect()}
+    assert len(twice) == 29 and "/2" not in twice and twice["/3"] == "a" and twice["/4"] is None
+    more = policy.logged(log.withColumn("size", F.lit(1)), spark.createDataFrame([("/z", "z", 5)], FILES), F.lit(start + timedelta(hours=5)))
+    assert more.count() == 30 and {"/z", "/1"} & {r.path for r in more.collect()} == {"/z"}
     assert policy.forgotten(log).count() == 0 and policy.forgotten(log, tried).count() == 29
     bin_ = spark.createDataFrame([("/bin/a", "N3")], "path string, name string")
     assert [r.bin_path for r in policy.restore_matches(log, bin_).collect()] == ["/bin/a"]
@@ -148,15 +161,13 @@ def test_components_do_not_depend_on_order(spark):
     for n in (1, 5):
         r.shuffle(pairs)
         edges = spark.createDataFrame(pairs, "src long, dst long").repartition(n)
-        assert {x.node: x.component for x in connected_components(edges).collect()} == {x: find(x) for x in nodes}
+        for local in (0, 10_000):
+            assert {x.node: x.component for x in connected_components(edges, local_edges=local).collect()} == {x: find(x) for x in nodes}
     assert connected_components(edges.limit(0)).collect() == []
 
 
 def png(path, pixels):
-    h, w, _ = pixels.shape
-    raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    path.write_bytes(images.png(pixels))
 
 
 def test_images(spark, tmp_path):
@@ -232,3 +243,95 @@ def test_counts_and_tags(spark):
     with control.tagged(spark, "scan"):
         rows.collect()
     assert seen.get == {"rows": 10, "even": 5} and control.cancel(spark, "scan") == []
+
+
+def test_cancelling_ends_a_running_plan(spark):
+    from pyspark import InheritableThread
+
+    from dittograph.streaming import control
+
+    ended = []
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    def work():
+        with control.tagged(spark, "slow"):
+            try:
+                spark.range(2).mapInArrow(slow, "id long").collect()
+            except Exception as e:  # noqa: BLE001
+                ended.append(e)
+
+    thread, began = InheritableThread(target=work), time.time()
+    thread.start()
+    while thread.is_alive() and time.time() - began < 40:
+        time.sleep(1)
+        control.cancel(spark, "slow")
+    thread.join(5)
+    assert ended and not thread.is_alive() and time.time() - began < 45
+
+
+def test_walk_has_real_flags(spark, tmp_path):
+    for name in ("a/b/f.txt", ".hid/z.txt", "a/.h.txt", "t.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    os.symlink(tmp_path / "t.txt", tmp_path / "a/link.txt")
+    os.symlink(tmp_path / "a", tmp_path / "loop")
+    os.symlink(tmp_path / "gone", tmp_path / "a/broken.txt")
+    for spread in (1, 64):
+        rows = {r.name: r for r in files.walk_files(spark, [str(tmp_path)], spread=spread).collect()}
+        assert set(rows) == {"f.txt", ".h.txt", "t.txt", "link.txt", "broken.txt"}
+        assert rows[".h.txt"].is_hidden and rows["link.txt"].is_reparse and not rows["t.txt"].is_hidden
+        assert rows["broken.txt"].size is None and rows["broken.txt"].path.endswith("a/broken.txt")
+        assert {r.name for r in exact.visible(files.walk_files(spark, [str(tmp_path)], spread=spread)).collect()} == {"f.txt", "t.txt", "broken.txt"}
+        assert {r.name for r in files.walk_files(spark, [str(tmp_path)], max_depth=0, spread=spread).collect()} == {"t.txt"}
+        assert files.walk_files(spark, [str(tmp_path)], prune=False, spread=spread).count() == 6
+    assert files.walk_files(spark, [str(tmp_path / "nothing")]).count() == 0
+
+
+def test_images_from_files_to_groups(spark, tmp_path):
+    """A run over a folder, and the same images as they arrive."""
+    from dittograph.plans.similar_images import similar_images
+    from dittograph.streaming import increment
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 256, (64, 64, 3))
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    png(inbox / "a.png", base)
+    png(inbox / "b.png", np.clip(base + r.integers(-1, 2, base.shape), 0, 255))
+    png(inbox / "c.png", r.integers(0, 256, (64, 64, 3)))
+    (inbox / "d.png").write_bytes(b"no image")
+    for more in ({}, {"window": 8}, {"greedy": True}):
+        got = similar_images(spark, [str(inbox)], **more).collect()
+        assert sorted(x.path.rsplit("/")[-1] for x in got) == ["a.png", "b.png"] and all(x.group_id.endswith("a.png") and x.score > 0.95 for x in got)
+    args = [str(tmp_path / x) for x in ("hashes", "edges", "checkpoint")]
+    increment.start_images(spark, str(inbox), *args, max_files=2).awaitTermination()
+    png(inbox / "e.png", base)
+    increment.start_images(spark, str(inbox), *args).awaitTermination()
+    assert sorted(x.path.rsplit("/")[-1] for x in increment.image_groups(spark, args[1]).collect()) == ["a.png", "b.png", "e.png"]
+
+
+def test_cross_pairs_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    a, b = (spark.createDataFrame([(int(s + k), int(h)) for k, h in enumerate(r.integers(-(2**63), 2**63, n))], "id long, hash long") for s, n in ((0, 90), (1000, 50)))
+    want = {tuple(x) for x in similar.hamming_cross(a, b).collect()}
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 20)
+    got = [tuple(x) for x in similar.hamming_cross(a, b, broadcast_rows=10).collect()]
+    assert set(got) == want and len(got) == len(want) > 10 and want == {tuple(x) for x in similar.hamming_cross(b, a).collect()}
+
+
+def test_frames_in_blocks_equal_joined_vectors(spark):
+    r = np.random.default_rng(4)
+    frames = spark.createDataFrame([(k, r.random(64).tolist()) for k in range(12)], "id long, values array<double>")
+    pairs = spark.createDataFrame([(i, j, 0) for i in range(12) for j in range(i + 1, 12)] + [(1, 99, 0)], "i long, j long, hd int")
+    want = {(x.i, x.j): x.ssim for x in similar.ssim_pairs(pairs, frames).collect()}
+    got = {(x.i, x.j): x.ssim for x in similar.ssim_frames(pairs, frames, block_rows=5).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(want) == 66
+    windowed = {(x.i, x.j): x.ssim for x in similar.ssim_frames(pairs, frames, 4).collect()}
+    x, y = (np.array(frames.filter(F.col("id") == k).first()["values"]).reshape(8, 8) for k in (0, 1))
+    one_window = lambda a, b: (2 * a.mean() * b.mean() + 1e-4) * (2 * (a * b).mean() - 2 * a.mean() * b.mean() + 9e-4) / ((a.mean() ** 2 + b.mean() ** 2 + 1e-4) * (a.var() + b.var() + 9e-4))
+    plain = np.mean([one_window(x[i : i + 4, j : j + 4], y[i : i + 4, j : j + 4]) for i in (0, 4) for j in (0, 4)])
+    assert windowed[0, 1] == pytest.approx(max(0, plain), abs=2e-6)
