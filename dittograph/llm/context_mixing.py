@@ -148,9 +148,9 @@ def fold() -> Column:
 
 
 def _sums(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of ``n`` (1 each, by default) of each."""
+    """Distinct keys in order, and the sum of ``n`` of each; without ``n`` how often each is there, and ``keys`` get sorted."""
     if n is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
@@ -172,17 +172,17 @@ def _counted(orders: tuple[int, ...], bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folds = np.asarray(batch.column("fold"), np.uint64)
+            folds = np.asarray(batch.column("fold"), np.uint16)
             for start, count, raw, at, before in pieces(batch, SLAB, 7):
                 skip = min(7, before)
                 if not len(raw):
                     continue
-                half = np.repeat(folds[start : start + count] << np.uint64(8), np.diff(at))
+                low = np.repeat(folds[start : start + count] << np.uint16(8), np.diff(at))
+                low |= raw
                 rows = []
-                low = (half | raw)[skip:]
                 for k, order in enumerate(orders):
                     keys = contexts(raw, at, order)[skip:]
-                    keys |= low
+                    keys |= low[skip:]
                     keys, n = _sums(keys)
                     ctx = keys >> np.uint64(8)
                     new = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
