@@ -175,17 +175,23 @@ def _by_group(docs: DataFrame, group_bytes: int):
     return texts.withColumn("grp", grp).groupBy("grp")
 
 
-def _saved(table: pa.Table, uri: str, length: int, pad: int) -> None:
+def _kind(most: int) -> str:
+    """The least unsigned type that holds numbers up to ``most``."""
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def _saved(table: pa.Table, uri: str, length: int, pad: int, most_id: int) -> None:
     """Write the files of one group, whose rows are in order."""
     fs, root = pafs.FileSystem.from_uri(uri)
     grp = table.column("grp")[0].as_py()
-    ids, places = np.full((table.num_rows, length), pad, "<u4"), np.zeros((table.num_rows, length), "<u4")
+    kinds = {"ids": _kind(max(most_id, pad)), "positions": _kind(length)}
+    ids, places = np.full((table.num_rows, length), pad, kinds["ids"]), np.zeros((table.num_rows, length), kinds["positions"])
     for k, (a, b) in enumerate(zip(table.column("ids"), table.column("positions"))):
         a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
         ids[k, : len(a)], places[k, : len(b)] = a, b
     cuts = table.column("cu_seqlens").combine_chunks()
-    shape = {"rows": table.num_rows, "length": length, "segments": [len(c) - 1 for c in table.column("cu_seqlens").to_pylist()]}
-    files = {f"ids-{grp:06d}.bin": ids.tobytes(), f"positions-{grp:06d}.bin": places.tobytes(), f"cu-{grp:06d}.bin": np.asarray(cuts.flatten(), "<u4").tobytes(), f"{grp:06d}.json": json.dumps(shape).encode()}
+    shape = {"rows": table.num_rows, "length": length, "types": kinds, "segments": [len(c) - 1 for c in table.column("cu_seqlens").to_pylist()]}
+    files = {f"ids-{grp:06d}.bin": ids, f"positions-{grp:06d}.bin.zst": pa.compress(places.tobytes(), "zstd"), f"cu-{grp:06d}.bin": np.asarray(cuts.flatten(), "<u4").tobytes(), f"{grp:06d}.json": json.dumps(shape).encode()}
     for name, data in files.items():
         tmp = f"{root}/.tmp-{name}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
         with fs.open_output_stream(tmp) as out:
@@ -193,18 +199,18 @@ def _saved(table: pa.Table, uri: str, length: int, pad: int) -> None:
         fs.move(tmp, f"{root}/{name}")
 
 
-def write_matrices(rows: DataFrame, uri: str, length: int = LENGTH, pad: int = END) -> DataFrame:
+def write_matrices(rows: DataFrame, uri: str, length: int = LENGTH, pad: int = END, most_id: int = END) -> DataFrame:
     """Write packed rows as binary files at ``uri`` and return (file, grp, n_rows, n_tokens).
 
-    For each group ``g``: ``ids-g.bin`` and ``positions-g.bin``, matrices of uint32
-    (rows x ``length``, padded with ``pad`` and 0), ``cu-g.bin`` with all rows'
-    cumulative segment lengths (uint32) and ``g.json`` with the shapes. Each file
-    has a temporary name until it is whole; a repeated task writes the same bytes.
+    For each group ``g``: ``ids-g.bin``, a matrix (rows x ``length``) padded with ``pad``, and ``positions-g.bin.zst``,
+    one padded with 0 and compressed, for ramps take next to no room then; both of uint16 where ``most_id`` or ``length``
+    allows, else uint32. ``cu-g.bin`` has all rows' cumulative segment lengths (uint32), ``g.json`` shapes and types. Each file
+    has a temporary name until it is whole; a repeated task writes the same bytes. An empty table gives no files and no rows.
     """
 
     def run(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
-        _saved(table.sort_by("row"), uri, length, pad)
+        _saved(table.sort_by("row"), uri, length, pad, most_id)
         return pa.table({"file": [f"ids-{grp:06d}.bin"], "grp": pa.array([grp], pa.int32()), "n_rows": pa.array([table.num_rows], pa.int64()), "n_tokens": pa.array([sum(table.column("n_tokens").to_pylist())], pa.int64())})
 
     fs, root = pafs.FileSystem.from_uri(uri)
@@ -212,11 +218,12 @@ def write_matrices(rows: DataFrame, uri: str, length: int = LENGTH, pad: int = E
     return rows.groupBy("grp").applyInArrow(run, "file string, grp int, n_rows long, n_tokens long")
 
 
-def _read_back(uri: str, length: int):
+def _read_back(uri: str, length: int, most_id: int):
     """Rows of the index with their ids and positions, from the matrices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
+        held, places = None, np.empty((0, length), _kind(length))
         for batch in batches:
             for at in range(0, batch.num_rows, _READ_ROWS):
                 part = batch.slice(at, _READ_ROWS)
@@ -224,10 +231,17 @@ def _read_back(uri: str, length: int):
                 grps = np.asarray(part.column("grp"))
                 rows, tokens = np.asarray(part.column("row")), np.asarray(part.column("n_tokens"))
                 for begin, end in pairwise([0, *(np.flatnonzero(np.diff(grps)) + 1).tolist(), len(grps)]):
-                    for kind, held in out.items():
-                        with fs.open_input_file(f"{root}/{kind}-{grps[begin]:06d}.bin") as f:
-                            for row, n in zip(rows[begin:end].tolist(), tokens[begin:end].tolist()):
-                                held.append(f.read_at(4 * n, 4 * length * row))
+                    if held != grps[begin]:
+                        held = int(grps[begin])
+                        with fs.open_input_file(f"{root}/positions-{held:06d}.bin.zst") as f:
+                            raw = pa.input_stream(f, compression="zstd").read()
+                        places = np.frombuffer(raw, _kind(length)).reshape(-1, length)
+                    with fs.open_input_file(f"{root}/ids-{held:06d}.bin") as f:
+                        wide = np.dtype(_kind(most_id))
+                        for row, n in zip(rows[begin:end].tolist(), tokens[begin:end].tolist()):
+                            ids = np.frombuffer(f.read_at(wide.itemsize * n, wide.itemsize * length * row), wide)
+                            out["ids"].append(ids.astype("<u4").tobytes())
+                            out["positions"].append(places[row, :n].astype("<u4").tobytes())
                 columns = {name: part.column(name) for name in part.schema.names} | {k: pa.array(v, pa.binary()) for k, v in out.items()}
                 yield pa.RecordBatch.from_arrays([columns[name] for name in _NAMES], names=_NAMES)
 
@@ -239,16 +253,19 @@ def write(docs: DataFrame, uri: str, length: int = LENGTH, vocabulary: str = VOC
 
     Each group's files are written by the task that packs it, so nothing more is shuffled.
     ``index`` below ``uri`` has the rows without ids and positions, which are read
-    from the matrices when the result is. All is written before this returns.
+    from the matrices when the result is. All is written before this returns. Nulls, long and repeated texts, ties and
+    other columns are as in :func:`packed`; an empty table gives an empty index and no files.
     """
     fs, root = pafs.FileSystem.from_uri(uri)
     fs.create_dir(root, recursive=True)
-    pack_group = _packed(_ranks(vocabulary), length, end)
+    ranks = _ranks(vocabulary)
+    pack_group, most = _packed(ranks, length, end), max(end, len(ranks.splitlines()) - 1)
 
     def run(table: pa.Table) -> pa.Table:
         rows = pack_group(table)
-        _saved(rows, uri, length, end)
+        if rows.num_rows:
+            _saved(rows, uri, length, end, most)
         return rows.drop_columns(["ids", "positions"])
 
     _by_group(docs, group_bytes).applyInArrow(run, _INDEX).write.mode("overwrite").parquet(f"{uri}/index")
-    return docs.sparkSession.read.schema(_INDEX).parquet(f"{uri}/index").mapInArrow(_read_back(uri, length), _ROW)
+    return docs.sparkSession.read.schema(_INDEX).parquet(f"{uri}/index").mapInArrow(_read_back(uri, length, most), _ROW)

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dittograph.llm import packing as P
@@ -61,20 +62,29 @@ def test_odd_rows(odd, nothing):
     assert P.packed(nothing).collect() == []
 
 
+def matrices(root, grp, length):
+    """Both matrices of a group as uint32, in the types that its description names."""
+    shape = json.loads((root / f"{grp:06d}.json").read_text())
+    ids = np.fromfile(root / f"ids-{grp:06d}.bin", shape["types"]["ids"]).reshape(shape["rows"], length)
+    raw = pa.input_stream(root / f"positions-{grp:06d}.bin.zst", compression="zstd").read()
+    return ids.astype("<u4"), np.frombuffer(raw, shape["types"]["positions"]).reshape(shape["rows"], length).astype("<u4"), shape
+
+
 def test_matrices(make, tmp_path):
     rows = P.packed(make([(k, prose(k, 30)) for k in range(30)]), 128, group_bytes=2000)
     files = P.write_matrices(rows, f"file://{tmp_path}/m", 128).collect()
     kept = {(r.grp, r.row): r for r in rows.collect()}
     for f in files:
-        ids = np.fromfile(tmp_path / "m" / f.file, "<u4").reshape(f.n_rows, 128)
-        places = np.fromfile(tmp_path / "m" / f.file.replace("ids", "positions"), "<u4").reshape(f.n_rows, 128)
-        shape = json.loads((tmp_path / "m" / f"{f.grp:06d}.json").read_text())
-        assert shape["rows"] == f.n_rows
+        ids, places, shape = matrices(tmp_path / "m", f.grp, 128)
+        assert shape["rows"] == f.n_rows and f.file == f"ids-{f.grp:06d}.bin"
         for k in range(f.n_rows):
             r = kept[f.grp, k]
             assert ids[k, : r.n_tokens].tobytes() == r.ids and places[k, : r.n_tokens].tobytes() == r.positions
             assert (ids[k, r.n_tokens :] == P.END).all()
     assert not list((tmp_path / "m").glob(".tmp*"))
+    wide = P.write_matrices(rows, f"file://{tmp_path}/w", 128, most_id=70_000).collect()
+    assert all(matrices(tmp_path / "w", f.grp, 128)[2]["types"] == {"ids": "<u4", "positions": "<u2"} for f in wide)
+    assert all((matrices(tmp_path / "w", f.grp, 128)[0] == matrices(tmp_path / "m", f.grp, 128)[0]).all() for f in wide)
 
 
 def test_query_writes_the_matrices(monkeypatch, spark, tmp_path, make, nothing):
@@ -85,7 +95,7 @@ def test_query_writes_the_matrices(monkeypatch, spark, tmp_path, make, nothing):
     monkeypatch.setattr(Q, "_table", lambda *a: docs)
     rows = Q.op2_packing(spark, "").collect()
     assert sorted(map(str, rows)) == sorted(map(str, P.packed(docs).collect()))
-    ids, places = (np.fromfile(tmp_path / "m" / f"{k}-000000.bin", "<u4").reshape(len(rows), P.LENGTH) for k in ("ids", "positions"))
+    ids, places, _ = matrices(tmp_path / "m", 0, P.LENGTH)
     for r in rows:
         assert ids[r.row, : r.n_tokens].tobytes() == r.ids and places[r.row, : r.n_tokens].tobytes() == r.positions
         assert (ids[r.row, r.n_tokens :] == P.END).all() and not places[r.row, r.n_tokens :].any()
