@@ -26,12 +26,13 @@ def brute(docs, items):
             continue
         d, m = words(text), words(item)
         w = min(D.WINDOW, len(m))
-        if len(m) < D.MIN_WORDS:
+        if not m:
             continue
+        need = w if len(m) < 8 else w - w // 5
         for start in range(-len(m), len(d)):
             same = [0 <= start + j < len(d) and d[start + j] == m[j] for j in range(len(m))]
             best = max(sum(same[a : a + w]) for a in range(len(m) - w + 1))
-            if best >= w - w // 5:
+            if best >= need:
                 out[i, k] = max(out.get((i, k), (0, 0)), (best, w))
     return {(i, k, *v) for (i, k), v in out.items()}
 
@@ -51,12 +52,19 @@ def tables(spark):
     return docs, items, spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, item_id long, words string"), spark.createDataFrame([(*i, 2) for i in items], "item_id long, text string, doc_id long")
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [D.BROADCAST_WORDS, 0])
 def test_leaks_equal_brute_force(tables, limit):
     docs, items, d, b = tables
     assert {tuple(r) for r in D.leaks(d, b, limit).collect()} == brute(docs, items)
 
 
+def test_short_items_need_all_their_words(spark):
+    items = spark.createDataFrame([(1, "Seven words in a row count here"), (2, "two words"), (3, "..."), (4, "solo")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so SEVEN words, in a row count here!"), (2, "seven words in the row count here"), (3, "two other words"), (4, "x two words y"), (5, "... solo")], "doc_id long, text string")
+    for limit in (100, 0):
+        assert {tuple(r) for r in D.leaks(docs, items, limit).collect()} == {(1, 1, 7, 7), (4, 2, 2, 2), (5, 4, 1, 1)}
+
+
 def test_clean_documents_stay(tables):
     docs, items, d, b = tables
     gone = {x[0] for x in brute(docs, items)}
@@ -65,12 +73,13 @@ def test_clean_documents_stay(tables):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in gone)
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [D.BROADCAST_WORDS, 0])
 def test_empty_tables(tables, limit):
     _, _, d, b = tables
     assert D.leaks(d.limit(0), b, limit).collect() == []
-    if limit:
-        assert D.leaks(d, b.limit(0), limit).collect() == []
+    # below its bound an empty benchmark is sent; with a bound of less than nothing it is shuffled
+    assert D.leaks(d, b.limit(0), limit).collect() == [] == D.leaks(d, b.limit(0), limit - 1).collect()
+    assert D.leaks(d.limit(0), b.limit(0), -1).collect() == []
 
 
 def test_odd_rows(odd, spark):
