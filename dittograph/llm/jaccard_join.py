@@ -45,6 +45,8 @@ N, THRESHOLD = 3, 0.5
 REGION_TOKENS = 4_000_000
 #: Bytes of pivots that a split may send to all executors; beyond it pairs of blocks are joined at once.
 PIVOT_BYTES = 64 << 20
+#: Documents of 16 bytes up to which their regions are sent to all executors; they are counted first.
+BROADCAST_ROWS = 1_000_000
 #: N-grams of small regions that one task is given.
 TASK_TOKENS = 1_000_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -122,15 +124,22 @@ def _count(parts: int):
         key.sort()
         gram = key >> _B32
         first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, np.int64)
-        many = np.diff(np.r_[first, len(gram)])
-        keep = np.repeat(many >= 2, many)
-        rank = np.minimum(255, np.round(8 * np.log2(np.repeat(many, many)[keep]))).astype(np.uint8)
-        key = key[keep]
-        back = (key << _B32) | (key >> _B32)
-        order = np.argsort(back)
-        back, rank = back[order], rank[order]
-        counts = np.bincount((back >> _B32).astype(np.int64), minlength=len(ids)).astype(np.uint32)
-        grams = (back & _LOW).astype(np.uint32)
+        del gram
+        many = np.diff(np.r_[first, len(key)])
+        rank = np.minimum(15, np.log2(np.maximum(1, many))).astype(np.uint8)
+        key, rank = key[np.repeat(many >= 2, many)], np.repeat(rank[many >= 2], many[many >= 2])
+        # by document, then n-gram; the rank goes along in the lowest bits
+        back = (key & _LOW) << np.uint64(36)
+        key >>= _B32
+        key <<= np.uint64(4)
+        back |= key
+        del key
+        back |= rank
+        back.sort()
+        counts = np.bincount((back >> np.uint64(36)).astype(np.int64), minlength=len(ids)).astype(np.uint32)
+        rank = (back & np.uint64(15)).astype(np.uint8)
+        grams = (back >> np.uint64(4)).astype(np.uint32)
+        del back
         part = _part(ids, parts)
         by = np.lexsort((ids, part))  # ids ascend, so that their differences compress well
         by = by[counts[by] > 0]
@@ -145,7 +154,8 @@ def _count(parts: int):
             docs, has = by[edge[p] : edge[p + 1]], so[sedge[p] : sedge[p + 1]]
             if len(docs) or len(has):
                 take = _ranges(begin[docs], counts[docs])
-                rows.append((p, bucket, np.diff(ids[docs], prepend=0).tobytes(), counts[docs].tobytes(), grams[take].tobytes(), rank[take].tobytes(), sized[has].tobytes(), sizes[has].tobytes()))
+                ranks = np.append(rank[take], np.zeros(len(take) % 2, np.uint8))  # two to a byte
+                rows.append((p, bucket, np.diff(ids[docs], prepend=0).tobytes(), counts[docs].tobytes(), grams[take].tobytes(), (ranks[::2] << 4 | ranks[1::2]).tobytes(), sized[has].tobytes(), sizes[has].tobytes()))
         return pa.Table.from_batches([_batch(rows, [pa.int32(), pa.int32()] + [pa.binary()] * 6, ["part", "bucket", "ids", "counts", "grams", "ranks", "sized", "sizes"])])
 
     return run
@@ -165,8 +175,10 @@ def _survive(t: float):
     def run(table: pa.Table) -> pa.Table:
         ids = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in table.column("ids").to_pylist()])
         counts = _joined(table.column("counts"), np.uint32)
-        low, rank = _joined(table.column("grams"), np.uint32), _joined(table.column("ranks"), np.uint8)
-        bucket = np.repeat(np.asarray(table.column("bucket"), np.uint64), [len(x) // 4 for x in table.column("grams").to_pylist()])
+        low, many = _joined(table.column("grams"), np.uint32), [len(x) // 4 for x in table.column("grams").to_pylist()]
+        two = [np.frombuffer(x, np.uint8) for x in table.column("ranks").to_pylist()]
+        rank = np.concatenate([np.stack([x >> 4, x & 15], 1).ravel()[:n] for x, n in zip(two, many)])
+        bucket = np.repeat(np.asarray(table.column("bucket"), np.uint64), many)
         sized, sizes = _joined(table.column("sized"), np.int64), _joined(table.column("sizes"), np.uint32)
         names, at = np.unique(sized, return_index=True)
         size = sizes[at].astype(np.int64)
@@ -367,21 +379,35 @@ def _regions_joined(sets: DataFrame, t: float, cap: int, depth: int = 0) -> list
     return [*out, *_regions_joined(written(cell.unionByName(rest), "level"), t, cap, depth + 1)]
 
 
-def _single(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row, that of the least text, for each repeated id; only repeated ids are shuffled by row."""
-    twice = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is not null and n > 1").select(F.col("doc_id").alias("twice_id")), "twice")
-    if twice.isEmpty():
-        return docs
-    same = docs["doc_id"] == twice["twice_id"]
-    names = docs.columns
-    one = docs.join(twice, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.col("text")).alias("one")).select("one.*")
-    return docs.join(twice, same, "left_anti").unionByName(one)
+#: Bit that tells the keys of rows with repeated ids from ids.
+_OWN = -(1 << 63)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_key``, which equal rows alone share, and whether it differs from doc_id.
+
+    The key is the id where no other row has it, else a hash of id and text. Null where id or text is.
+    """
+    twice = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is not null and n > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    n = twice.count()
+    known = F.col("text").isNotNull()
+    if not n:
+        return docs.withColumn("_key", F.when(known, F.col("doc_id").cast("long"))), False
+    joined = docs.join(F.broadcast(twice) if n <= BROADCAST_ROWS else twice, docs["doc_id"] == twice["_twice"], "left")
+    own = F.xxhash64("doc_id", "text").bitwiseOR(F.lit(_OWN))
+    return joined.withColumn("_key", F.when(known & F.col("doc_id").isNotNull(), F.when(F.col("_twice").isNull(), F.col("doc_id").cast("long")).otherwise(own))).drop("_twice"), True
+
+
+def _distinct(texts: DataFrame) -> DataFrame:
+    """One row for each (doc_id, text) of keys; only keys of repeated ids are shuffled."""
+    mine = F.col("doc_id") < F.lit(0)
+    return texts.filter(~mine).unionByName(texts.filter(mine).groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def survivors(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """Step 1: documents that may have a partner, with the n-grams that others have too, rarest first."""
     spark: SparkSession = docs.sparkSession
-    texts = _single(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter("doc_id is not null and text is not null"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(4, (size // (24 << 20)).bit_length()))
     parts = min(4096, max(16, 1 << bits))
@@ -399,10 +425,30 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHO
     one gram of all of them.
 
     Nulls: rows without id or text, and texts without any word, are in no group.
-    Repeated ids: a document is taken once; of rows with the same id the least
-    text counts. Ties don't arise: similarity is compared in integers.
+    Repeated ids: rows with the same id and text are one document, those with the same id and
+    another text are documents of their own, each with its row. Ties don't arise: similarity is compared in integers.
     An empty table gives no rows. Other columns, whatever their names, are not read.
     """
+    keyed, differs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = _groups(_texts(keyed, differs), n, threshold, region_tokens)
+    return _members(found, keyed).select("doc_id", "rep_id") if differs else found.select(F.col("key").alias("doc_id"), F.col("rep").alias("rep_id"))
+
+
+def _texts(keyed: DataFrame, differs: bool) -> DataFrame:
+    texts = keyed.select(F.col("_key").alias("doc_id"), "text")
+    return _distinct(texts) if differs else texts
+
+
+def _members(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``(_key, doc_id, rep_id, first)`` of grouped documents; the first has the least (id, key) of its group."""
+    ids = keyed.filter("_key is not null").select("_key", "doc_id").distinct()
+    rows = written(found.select(F.col("key").alias("_key"), "rep").join(ids, "_key"), "members")
+    least = rows.groupBy("rep").agg(F.min(F.struct("doc_id", "_key")).alias("least"))
+    return rows.join(least, "rep").select("_key", "doc_id", F.col("least.doc_id").alias("rep_id"), (F.col("least._key") == F.col("_key")).alias("first"))
+
+
+def _groups(docs: DataFrame, n: int, threshold: float, region_tokens: int) -> DataFrame:
+    """``(key, rep)`` of documents (doc_id, text) with distinct ids."""
     if not 1 / 3 < threshold <= 1:
         raise ValueError("threshold must be above 1/3 and at most 1: beyond d = 2/3 windows hold everything")
     found = survivors(docs, n, threshold)
@@ -417,23 +463,31 @@ def ngram_jaccard_groups(docs: DataFrame, n: int = N, threshold: float = THRESHO
     sets = found.join(same.select("doc_id"), "doc_id", "left_anti")
     buckets = max(16, min(4096, (sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) >> 22))
     edges = sets.mapInArrow(_prefixes(threshold, buckets), "bucket int, grams binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(_meet(threshold), "src long, dst long")
-    region = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
+    region = written(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("region")), "region")
+    if region.count() <= BROADCAST_ROWS:
+        region = F.broadcast(region)
     placed = written(sets.join(region, "doc_id").select("region", "doc_id", "size", "grams"), "placed")
     dropped(found)
     parts = _regions_joined(placed, threshold, region_tokens)
     links = same.select(F.col("doc_id").alias("src"), F.col("rep_id").alias("dst"))
     for p in parts:
         links = links.unionByName(p)
-    out = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("rep_id"))
-    return out
+    return connected_components(links).select(F.col("node").alias("key"), F.col("component").alias("rep"))
 
 
 def near_duplicates_dropped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that are near copies of one with a lower id.
 
-    Rows without id or text stay; of rows with the same id the one with the least text stays.
+    Rows without id or text stay. Of rows equal in id and text one stays; rows that only share an id are
+    documents of their own, and of a group of them the one with the least hash. Ties, other columns and an empty table
+    are as in :func:`ngram_jaccard_groups`; all columns are kept.
     """
-    docs = _single(docs)
-    groups = ngram_jaccard_groups(docs, n, threshold)
-    gone = groups.filter("doc_id <> rep_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    keyed, differs = _keyed(docs)
+    found = _groups(_texts(keyed, differs), n, threshold, REGION_TOKENS)
+    if not differs:
+        gone = found.filter("key <> rep").select(F.col("key").alias("_gone"))
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    again = F.col("_key") < 0
+    once = keyed.filter(~F.coalesce(again, F.lit(False))).unionByName(keyed.filter(again).dropDuplicates(["_key"]))
+    gone = _members(found, keyed).filter(~F.col("first")).select(F.col("_key").alias("_gone"))
+    return once.join(gone, once["_key"] == gone["_gone"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
