@@ -41,8 +41,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations")
-    return transcripts.formatted(transcripts.raw_transcripts(turns), transcripts.tables_from(turns))
+    return transcripts.parsed_by_others(_table(spark, sf_dir, "conversations"))
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ Each line is the first or a later line of a turn by the user, the assistant or
 the system: six states. What a line shows is its speaker marker (of a known kind,
 a name, or none), and features of its text. Viterbi's best path gives the roles;
 turns are then rendered in one canonical form. All transcripts of a batch advance
-in step, line by line. The transition and feature tables are counted over all
-turns of a table with known roles.
+in step, line by line. All tables, those of markers too, are counted over
+transcripts whose roles are known.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dittograph.llm import flat
+from dittograph.storage import written
 
 ROLES = ("user", "assistant", "system")
 KNOWN = {
@@ -33,19 +35,24 @@ KINDS = _NAMES + 3
 _MARKER = re.compile(r"^\s*(?:#{1,4}\s*|\*\*|<\|?|\[|>+\s*)?(?:im_start\|>)?([^\W\d_][\w ]{0,18}?)(?:\|?>|\]|\*\*)?\s*(?:\(\d[\d: ]*\))?\s*(:\*\*|:|\|>|>|\]|$)\s*")
 _WRAPPED = re.compile(r"^\s*(?:<\|?|\[|#{1,4}\s)")
 LENGTHS = 6
-#: P(marker kind | first line of a turn of a role); a later line has none, as a rule.
-_FIRST = np.array([[0.14, 0.62, 0.01, 0.01, 0.12, 0.07, 0.03], [0.14, 0.01, 0.62, 0.01, 0.07, 0.12, 0.03], [0.20, 0.01, 0.01, 0.70, 0.03, 0.03, 0.02]])
-_LATER = np.array([0.97, 0.004, 0.004, 0.004, 0.006, 0.006, 0.006])
-
-
 @dataclass
 class Tables:
-    """Probabilities: next role of a turn (row 3: of the first), going on with a turn, and the line features."""
+    """Probabilities: next role of a turn (row 3: of the first), going on with a turn, marker kinds and line features by state."""
 
     turn: np.ndarray = field(default_factory=lambda: np.array([[0.05, 0.94, 0.01], [0.94, 0.05, 0.01], [0.90, 0.08, 0.02], [0.75, 0.05, 0.20]]))
     more: np.ndarray = field(default_factory=lambda: np.array([0.3, 0.7, 0.3]))
     length: np.ndarray = field(default_factory=lambda: np.full((6, LENGTHS), 1 / LENGTHS))
     question: np.ndarray = field(default_factory=lambda: np.full((6, 2), 0.5))
+    kind: np.ndarray = field(default_factory=lambda: _prior() / _prior().sum(1, keepdims=True))
+
+
+def _prior() -> np.ndarray:
+    """Counts of marker kinds by state before any transcript is seen: a first line has its role's word, a later one none."""
+    out = np.full((6, KINDS), 0.05)
+    out[:3, 0], out[3:, 0] = 1, 8
+    out[np.arange(3), np.arange(3) + 1] = 4
+    out[:3, _NAMES:] = 0.5
+    return out
 
 
 def marker(line: str) -> tuple[str, str]:
@@ -83,7 +90,7 @@ def logs(tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         role = a % 3
         move[a, :3] = np.log(1 - tables.more[role]) + np.log(tables.turn[role])
         move[a, 3 + role] = np.log(tables.more[role])
-    kind = np.log(np.concatenate([_FIRST, np.tile(_LATER, (3, 1))]))
+    kind = np.log(tables.kind)
     look = np.log(tables.length)[:, :, None] + np.log(tables.question)[:, None, :]
     return begin, move, kind, look
 
@@ -137,30 +144,49 @@ def parse(texts: list[str | None], tables: Tables) -> list[list[tuple[str, str]]
     return out
 
 
-def _lines(turns: DataFrame) -> DataFrame:
-    role = F.lower(F.trim("role"))
-    code = F.when(role == "user", 0).when(role == "assistant", 1).when(role == "system", 2)
-    return turns.select("conv_id", "turn", code.alias("role"), F.col("text").cast("string").alias("text")).filter("role is not null")
-
-
-def tables_from(turns: DataFrame) -> Tables:
-    """Tables counted over all turns (conv_id, turn, role, text) with a known role; each count starts from 1."""
-    rows = _lines(turns)
-    line = rows.select("role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line"))
-    size = F.least(F.lit(LENGTHS - 1), F.floor(F.length(F.bin(F.length(F.trim("line")).cast("long"))) / 2))
-    size = F.when(F.length(F.trim("line")) == 0, 0).otherwise(size)
-    seen = line.groupBy((F.col("role") + F.when(F.col("k") == 0, 0).otherwise(3)).alias("state"), size.cast("int").alias("size"), F.rtrim("line").endswith("?").alias("asks")).count().collect()
-    length, question = np.ones((6, LENGTHS)), np.ones((6, 2))
-    for r in seen:
-        length[r.state, r["size"]] += r["count"]
-        question[r.state, int(r.asks)] += r["count"]
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each state goes with each marker kind, length and question, and how roles follow, in known transcripts."""
+    seen: Counter[tuple[int, int, int, int, int]] = Counter()
+    for batch in batches:
+        for turns in batch.column("turns").to_pylist():
+            states, was = [], 3
+            for t in turns:
+                role = (t["role"] or "").strip().lower()
+                k = ROLES.index(role) if role in ROLES else None
+                n = t["line"].count("\n")
+                states += [k] + [None if k is None else 3 + k] * n
+                if k is not None:
+                    seen[_FOLLOWS, was, k, 0, 0] += 1
+                    was = k
+            kinds, lengths, asks, _ = features("\n".join(t["line"] for t in turns))
+            for x in zip(states, kinds, lengths, asks):
+                if x[0] is not None:
+                    seen[(0, *x)] += 1
+    columns = zip(*[(*k, n) for k, n in seen.items()]) if seen else [[]] * 6
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["what", "a", "b", "c", "d", "n"])
+
+
+_FOLLOWS = 1
+
+
+def tables_from(known: DataFrame) -> Tables:
+    """Tables counted over :func:`known_transcripts`; every count starts from 1, those of marker kinds from ``_prior``.
+
+    Lines of turns without a known role aren't counted. No transcripts leave the prior and uniform tables.
+    """
+    rows = known.select("turns").mapInArrow(_counts, "what long, a long, b long, c long, d long, n long")
+    kind, length, question, move = _prior(), np.ones((6, LENGTHS)), np.ones((6, 2)), np.ones((4, 3))
+    for r in rows.groupBy("what", "a", "b", "c", "d").agg(F.sum("n").alias("n")).collect():
+        if r.what == _FOLLOWS:
+            move[r.a, r.b] += r.n
+        else:
+            kind[r.a, r.b] += r.n
+            length[r.a, r.c] += r.n
+            question[r.a, r.d] += r.n
     many = length.sum(1) - LENGTHS
-    move = np.ones((4, 3))
-    window = "lag(role) over (partition by conv_id order by turn, role, text)"
-    for r in rows.selectExpr("role", f"coalesce({window}, 3) as was").groupBy("was", "role").count().collect():
-        move[r.was, r.role] += r["count"]
     more = (many[3:] + 1) / (many[:3] + many[3:] + 2)
-    return Tables(move / move.sum(1, keepdims=True), more, length / length.sum(1, keepdims=True), question / question.sum(1, keepdims=True))
+    share = lambda x: x / x.sum(1, keepdims=True)
+    return Tables(share(move), more, share(length), share(question), share(kind))
 
 
 def formatted(transcripts: DataFrame, tables: Tables) -> DataFrame:
@@ -192,8 +218,8 @@ def formatted(transcripts: DataFrame, tables: Tables) -> DataFrame:
 STYLES = (("User: ", "Assistant: ", "System: "), ("Human: ", "AI: ", "System: "), ("Q: ", "A: ", "Context: "), ("### Instruction:\n", "### Response:\n", "### System:\n"), ("[user] ", "[assistant] ", "[system] "), ("Alice: ", "Bob: ", "System: "), ("<|user|>\n", "<|assistant|>\n", "<|system|>\n"))
 
 
-def raw_transcripts(turns: DataFrame) -> DataFrame:
-    """``(conv_id, text)``: conversations as raw text, as different tools would export them.
+def known_transcripts(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turns)``: conversations as different tools would export them, turn by turn (role, line) with the role that is meant.
 
     The style goes by a hash of conv_id; about one turn in twelve, by a hash too, has no
     marker. Turns are in order of turn, then role and text; a null role has no marker, a null text is empty.
@@ -209,4 +235,22 @@ def raw_transcripts(turns: DataFrame) -> DataFrame:
     mark = F.when(bare, "").when(role == "user", styled(0)).when(role == "assistant", styled(1)).when(role == "system", styled(2)).otherwise("")
     line = F.concat(mark, F.coalesce(F.col("text").cast("string"), F.lit("")))
     one = turns.filter("conv_id is not null").select("conv_id", F.struct("turn", "role", "text", line.alias("line")).alias("one"))
-    return one.groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("all")).select("conv_id", F.array_join("all.line", "\n").alias("text"))
+    kept = F.transform(F.sort_array(F.collect_list("one")), lambda x: F.struct(x["role"].alias("role"), x["line"].alias("line")))
+    return one.groupBy("conv_id").agg(kept.alias("turns"))
+
+
+def raw_transcripts(known: DataFrame) -> DataFrame:
+    """``(conv_id, text)``: known transcripts as raw text."""
+    return known.select("conv_id", F.array_join("turns.line", "\n").alias("text"))
+
+
+def parsed_by_others(turns: DataFrame) -> DataFrame:
+    """Every conversation of ``turns`` as raw text, :func:`formatted` with tables from the other half of the conversations.
+
+    Halves go by a hash of conv_id, so no conversation is parsed by what was counted in it.
+    """
+    known = written(known_transcripts(turns), "transcripts")
+    half = F.pmod(F.xxhash64("conv_id", F.lit(2)), F.lit(2))
+    tables = [tables_from(known.filter(half == k)) for k in (0, 1)]
+    out = [formatted(raw_transcripts(known.filter(half == k)), tables[1 - k]) for k in (0, 1)]
+    return out[0].unionByName(out[1])

@@ -51,18 +51,43 @@ def test_very_long_transcript():
 def test_raw_transcripts_with_odd_turns(spark):
     rows = [(1, 0, "user", "a"), (1, 1, None, "b"), (1, 2, "assistant", None), (1, 2, "assistant", None), (None, 0, "user", "x"), (2, None, " USER ", "c")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r.text for r in T.raw_transcripts(turns).collect()}
+    known = T.known_transcripts(turns)
+    got = {r.conv_id: r.text for r in T.raw_transcripts(known).collect()}
     assert set(got) == {1, 2} and got[1].count("\n") >= 3
-    tables = T.tables_from(turns)
-    assert np.allclose(tables.turn.sum(1), 1) and T.tables_from(turns.limit(0)).more.shape == (3,)
+    tables = T.tables_from(known)
+    assert all(np.allclose(x.sum(1), 1) for x in (tables.turn, tables.kind, tables.length, tables.question))
+    nothing = T.tables_from(known.limit(0))
+    assert nothing.more.shape == (3,) and np.allclose(nothing.kind, T.Tables().kind)
+    assert sorted(r.conv_id for r in T.parsed_by_others(turns).collect()) == [1, 2] and T.parsed_by_others(turns.limit(0)).collect() == []
+
+
+def test_tables_equal_plain_counts(spark):
+    rows = [(1, 0, "system", "be brief\nplease"), (1, 1, "user", "why?"), (1, 2, "assistant", "so"), (2, 0, "user", "a\n\nb?"), (2, 1, "user", "c")]
+    known = T.known_transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = T.tables_from(known)
+    kind, length, question, move = T._prior(), np.ones((6, T.LENGTHS)), np.ones((6, 2)), np.ones((4, 3))
+    for r in known.collect():
+        lines, states, was = [], [], 3
+        for t in r.turns:
+            k = T.ROLES.index(t.role)
+            move[was, k] += 1
+            was = k
+            for n, line in enumerate(t.line.split("\n")):
+                lines.append(line)
+                states.append(k + 3 * (n > 0))
+        for s, a, b, c in zip(states, *T.features("\n".join(lines))[:3]):
+            kind[s, a] += 1
+            length[s, b] += 1
+            question[s, c] += 1
+    for mine, want in ((got.kind, kind), (got.length, length), (got.question, question), (got.turn, move)):
+        assert np.allclose(mine, want / want.sum(1, keepdims=True))
 
 
 def test_held_out_accuracy(spark):
     turns = spark.read.parquet(SAMPLE)
-    tables = T.tables_from(turns.filter("conv_id % 2 = 0"))
-    odd = turns.filter("conv_id % 2 = 1")
-    got = {r.conv_id: r.roles for r in T.formatted(T.raw_transcripts(odd), tables).collect()}
+    got = {r.conv_id: r.roles for r in T.parsed_by_others(turns).collect()}
     want = {}
-    for r in odd.orderBy("conv_id", "turn").collect():
+    for r in turns.orderBy("conv_id", "turn").collect():
         want.setdefault(r.conv_id, []).append(r.role)
+    print(sum(got[c] == w for c, w in want.items()), len(want))
     assert sum(got[c] == w for c, w in want.items()) >= 0.8 * len(want)
