@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade, ordered by what a sample shows.
 
-Each rule is a Spark SQL expression that is true for a text to reject. Time and
-rejections of each are taken on a sample; the cascade is one CASE expression
-with the rules in order of rejections per second, so that a text pays only for
+Each rule is a Spark SQL expression that is true for a text to reject. The time of
+each is taken on a sample, and which rules reject which of its texts; the next rule of
+the cascade is the one with most rejections per second among texts that the rules
+before it leave. The cascade is one CASE expression, so that a text pays only for
 the rules up to the first that rejects it. The order changes the cost, never
 the decision.
 """
@@ -17,26 +18,32 @@ from pyspark.sql import functions as F
 
 from dittograph.storage import dropped, written
 
-_WORDS = r"regexp_extract_all(text, '\\S+', 0)"
 _COUNT = r"regexp_count(text, '\\S+')"
-_LINES = r"filter(split(text, '\n'), x -> trim(x) <> '')"
+
+
+def _once(value: str, name: str, test: str) -> str:
+    """``test`` with ``value`` as ``name``, worked out once."""
+    return f"transform(array({value}), {name} -> {test})[0]"
+
+
+_SAME = "aggregate(zip_with(slice(w, 2, greatest(size(w) - 1, 0)), w, (a, b) -> int(a = b)), 0, (s, x) -> s + coalesce(x, 0))"
 
 #: name -> expression; a null counts as false.
 RULES = {
     "no_letters": r"text is null or not regexp_like(text, '\\p{L}')",
     "symbols": r"20 * (length(text) - length(translate(text, '*&%$#@^~|<>{}[]=_+', ''))) > length(text)",
-    "separators": rf"10 * (length(text) - length(replace(text, '|', ''))) > {_COUNT}",
-    "exclamations": rf"5 * (length(text) - length(replace(text, '!', ''))) > {_COUNT}",
+    "separators": rf"instr(text, '|') > 0 and 10 * (length(text) - length(replace(text, '|', ''))) > {_COUNT}",
+    "exclamations": rf"instr(text, '!') > 0 and 5 * (length(text) - length(replace(text, '!', ''))) > {_COUNT}",
     "shouting": rf"10 * regexp_count(text, '\\p{{Lu}}') > 6 * regexp_count(text, '\\p{{L}}') and {_COUNT} >= 5",
-    "repeated_words": rf"{_COUNT} >= 10 and 5 * aggregate(zip_with(slice({_WORDS}, 2, greatest(size({_WORDS}) - 1, 0)), {_WORDS}, (a, b) -> int(a = b)), 0, (s, x) -> s + coalesce(x, 0)) > {_COUNT}",
-    "repeated_lines": rf"size({_LINES}) >= 4 and 10 * (size({_LINES}) - size(array_distinct({_LINES}))) > 4 * size({_LINES})",
+    "repeated_words": _once(r"regexp_extract_all(text, '\\S+', 0)", "w", f"size(w) >= 10 and 5 * {_SAME} > size(w)"),
+    "repeated_lines": _once(r"filter(split(text, '\n'), x -> trim(x) <> '')", "l", "size(l) >= 4 and 10 * (size(l) - size(array_distinct(l))) > 4 * size(l)"),
 }
 SAMPLE = 2000
 
 
 @dataclass(frozen=True)
 class Measured:
-    """A rule on the sample: seconds a text and the share of texts that it rejects."""
+    """A rule on the sample: seconds a text, and the share of all texts that it rejects of those that reach it."""
 
     name: str
     seconds: float
@@ -51,31 +58,46 @@ def _expr(rule: str) -> Column:
     return F.coalesce(F.expr(rule), F.lit(False))
 
 
+def ordered(seconds: dict[str, float], hits: dict[frozenset[str], int]) -> list[Measured]:
+    """Rules in the order to apply them; ``hits`` has how many texts are rejected by which rules.
+
+    Next comes the rule with most rejections per second of what is left, ties by name.
+    """
+    out, total, open_ = [], max(1, sum(hits.values())), dict(seconds)
+    while open_:
+        found = [Measured(name, s, sum(n for rules, n in hits.items() if name in rules) / total) for name, s in open_.items()]
+        out.append(min(found, key=lambda m: (-m.rank, m.name)))
+        del open_[out[-1].name]
+        hits = {rules: n for rules, n in hits.items() if out[-1].name not in rules}
+    return out
+
+
 def measured(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> list[Measured]:
-    """Rules in the order to apply them: most rejections per second first, ties by name.
+    """Rules in the order to apply them, by :func:`ordered`.
 
-    About ``sample`` documents, chosen by a hash of their id, are written once; each
+    About ``sample`` documents, drawn row by row so that no id draws more than its share, are written once; each
     rule then runs over them alone, and the shorter of two runs counts, less that of no rule.
     """
-    total = docs.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1)))
-    table = written(docs.filter(share).select("text").repartition(1), "sample")
+    share = min(1.0, sample / max(docs.count(), 1))
+    table = written((docs.sample(share, 7) if share < 1 else docs).select("text").repartition(1), "sample")
 
-    def run(rule: str) -> tuple[float, int, int]:
-        best = (float("inf"), 0, 0)
+    def run(rule: str) -> tuple[float, int]:
+        best = (float("inf"), 0)
         for _ in range(2):
             began = time.perf_counter()
-            n, hits = table.agg(F.count(F.lit(1)), F.count_if(_expr(rule))).first()
-            best = min(best, (time.perf_counter() - began, n, hits))
+            n, _ = table.agg(F.count(F.lit(1)), F.count_if(_expr(rule))).first()
+            best = min(best, (time.perf_counter() - began, n))
         return best
 
     idle = run("length(text) < 0")[0]
-    found = []
+    seconds = {}
     for name, rule in rules.items():
-        seconds, n, hits = run(rule)
-        found.append(Measured(name, max(seconds - idle, 1e-4) / max(n, 1), hits / max(n, 1)))
+        took, n = run(rule)
+        seconds[name] = max(took - idle, 1e-4) / max(n, 1)
+    # a row for each set of rules that reject the same text, at most 2 ** rules
+    each = table.select(*[_expr(rule).alias(name) for name, rule in rules.items()]).groupBy(*rules).agg(F.count(F.lit(1)).alias("_n")).collect()
     dropped(table)
-    return sorted(found, key=lambda m: (-m.rank, m.name))
+    return ordered(seconds, {frozenset(name for name in rules if r[name]): r["_n"] for r in each})
 
 
 def judged(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE, order: list[str] | None = None) -> DataFrame:
@@ -97,7 +119,11 @@ def judged(docs: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE,
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that a rule rejects."""
+    """``docs`` without the documents that a rule rejects, with the columns they came with.
+
+    Null, empty and wordless texts go (``no_letters``); a very long text is judged whole. Rows are judged one by one, so null or
+    repeated ids, repeated rows and clashing names don't matter, and ties can't arise. An empty table gives an empty one.
+    """
     order = [m.name for m in measured(docs)]
     cascade = F.expr("case " + " ".join(f"when coalesce({RULES[n]}, false) then false" for n in order) + " else true end")
     return docs.filter(cascade)

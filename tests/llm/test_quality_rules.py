@@ -31,9 +31,19 @@ def test_each_rule_and_any_order(make):
         assert all(r.keep == (r.reason is None) for r in rows) and len(rows) == docs.count()
 
 
-def test_order_follows_rejections_per_second():
-    found = [Q.Measured("slow", 2.0, 0.9), Q.Measured("quick", 0.5, 0.5), Q.Measured("idle", 0.1, 0.0)]
-    assert [m.name for m in sorted(found, key=lambda m: (-m.rank, m.name))] == ["quick", "slow", "idle"]
+def test_order_is_by_rejections_per_second_of_what_is_left():
+    hits = {frozenset(): 60, frozenset(["slow", "quick"]): 20, frozenset(["slow"]): 15, frozenset(["small"]): 5}
+    found = Q.ordered({"slow": 1.0, "quick": 0.1, "small": 0.3, "idle": 0.01}, hits)
+    # over all texts slow has 0.35 a second and small 0.17; of what quick leaves slow has 0.15
+    assert [m.name for m in found] == ["quick", "small", "slow", "idle"]
+    assert [m.rejects for m in found] == [0.2, 0.05, 0.15, 0.0]
+    assert Q.ordered({"b": 1.0, "a": 1.0}, {})[0].name == "a"
+
+
+def test_sample_is_by_row_not_by_id(spark, make):
+    docs = spark.range(0, 4000, 1, 8).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
+    assert sum(m.rejects for m in Q.measured(docs, sample=200)) == 0
+    assert docs.sample(200 / 4000, 7).count() < 400
 
 
 def test_measured_names_all_rules_and_empty_tables(make, nothing):
