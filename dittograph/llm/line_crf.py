@@ -19,12 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from dittograph.llm import flat
+from dittograph.storage import dropped, written
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of their id.
 TRAIN_DOCUMENTS = 2000
+#: Bytes of text that the model is fitted on at most: they go to the driver.
+TRAIN_BYTES = 64 << 20
 #: Quality from which a document is kept. Junk scores below 0.1 as a rule; a lower bar than 0.5 keeps clean texts with a few odd lines.
 THRESHOLD = 0.15
 _MEASURES = 10
+_SEEN = 5  # the measure that says whether the text had the line before
+#: Bytes of a long text whose lines are measured at once.
+_WINDOW = 2 << 20
 
 
 @dataclass
@@ -42,8 +48,39 @@ def _sum(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return total[end] - total[start]
 
 
+def _windows(texts: pa.Array) -> Iterator[pa.Array]:
+    """A long text that is alone in parts that end with a line, all else as it is."""
+    raw, at = flat.utf8(texts)
+    if len(at) != 2 or len(raw) <= _WINDOW:
+        yield texts
+        return
+    breaks = np.flatnonzero((raw == 0x0A) | (raw == 0x0D)) + 1
+    begin = 0
+    while begin < len(raw):
+        k = np.searchsorted(breaks, begin + _WINDOW)
+        end = int(breaks[k]) if k < len(breaks) else len(raw)
+        yield pa.array([raw[begin:end].tobytes().decode(errors="replace")], pa.large_string())
+        begin = end
+
+
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines that aren't blank, the text of each, and its length in characters."""
+    base, doc, n, lh = (np.concatenate(x) for x in zip(*map(_measured, _windows(texts))))
+    # a line that its text has had before
+    order = np.argsort(lh, kind="stable")
+    seen = np.zeros(len(lh), bool)
+    seen[order[1:]] = lh[order][1:] == lh[order][:-1]
+    base[:, _SEEN] = seen
+    before, after = np.zeros_like(base), np.zeros_like(base)
+    if len(base) > 1:
+        same = doc[1:] == doc[:-1]
+        before[1:][same] = base[:-1][same]
+        after[:-1][same] = base[1:][same]
+    return np.concatenate([np.ones((len(base), 1)), base, before, after], 1), doc, n
+
+
+def _measured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Measures of each line but ``_SEEN``, its text, its length, and a hash of text and line."""
     cp, at = flat.codepoints(texts)
     line = (cp != 0x0A) & (cp != 0x0D)
     start, end, doc = flat.runs(line, at)
@@ -63,11 +100,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[1:] = (h[1:] == h[:-1]) & (token_line[1:] == token_line[:-1])
     count = np.maximum(1, np.bincount(token_line, minlength=len(start)))
     repeats = np.bincount(token_line, again, minlength=len(start)) / count
-    # a line that its text has had before
     lh = flat.span_hashes(cp, start, end) ^ flat.mixed(doc.astype(np.uint64))
-    order = np.argsort(lh, kind="stable")
-    seen = np.zeros(len(start), bool)
-    seen[order[1:]] = lh[order][1:] == lh[order][:-1]
     letters = np.maximum(1, _sum(word, start, end))
     odd = _sum(mark & ~plain, start, end) / n
     base = np.stack(
@@ -77,7 +110,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.minimum(1, 2 * _sum(cp == 0x21, start, end) / count),
             np.where(letters >= 8, _sum(upper, start, end) / letters, 0),
             np.minimum(1, 3 * repeats),
-            seen.astype(float),
+            np.zeros(len(start)),
             np.minimum(1, _sum(digit, start, end) / n),
             1 - letters / np.maximum(1, _sum(~space, start, end)),
             np.minimum(1, n / count / 40),
@@ -85,12 +118,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ],
         1,
     ) if len(start) else np.zeros((0, _MEASURES))
-    before, after = np.zeros_like(base), np.zeros_like(base)
-    if len(base) > 1:
-        same = doc[1:] == doc[:-1]
-        before[1:][same] = base[:-1][same]
-        after[:-1][same] = base[1:][same]
-    return np.concatenate([np.ones((len(base), 1)), base, before, after], 1), doc, n
+    return base, doc, n, lh
 
 
 FEATURES = 1 + 3 * _MEASURES
@@ -170,19 +198,28 @@ def fit(texts: list[pa.Array], good: np.ndarray, rounds: int = 400, rate: float
     return Model(theta[:FEATURES], theta[FEATURES : FEATURES + 4].reshape(2, 2), theta[-2:])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Model from the documents of at most ``most`` labelled rows (doc_id, quality), half of them of each class.
 
     The rows are those of least hash of their id, so the sample doesn't depend on
-    partitions. Rows with a null in doc_id, quality or text don't count. Without both classes
-    the model is neutral: every line is as likely good as bad.
+    partitions. Documents in that order count as long as they fit into ``most_bytes``; a longer one is passed over. Of rows
+    with the same id the least text counts, of labels the least quality; rows with a null in doc_id, quality or text
+    don't count. Without both classes, or with an empty table, the model is neutral: every line is as likely good as bad.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [rows.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for c in ("quality > 0", "quality <= 0")]
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna().join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
-    if not table.num_rows:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
+    found = written(texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")), "labelled")
+    fits, left = [], most_bytes
+    for r in found.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left:
+            fits.append(r.doc_id)
+            left -= r.n
+    table = found.filter(F.col("doc_id").isin(fits)).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow() if fits else None
+    dropped(found)
+    if not table:
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2))
     batch = table.select(["text"]).combine_chunks().to_batches()[0]
     return fit([part.column("text") for part in flat.chunks(batch, "text", 1 << 20)], np.asarray(table.column("quality")) > 0)
@@ -194,7 +231,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     A null text, and one without any line that isn't blank, has quality 0 and no
     lines. Ids may be null or repeat: rows are scored one by one. Columns quality,
     lines and bad_lines are replaced, all others stay. A very long text is scored
-    whole. A map without any shuffle; an empty table gives an empty one.
+    whole, its lines measured window by window. A map without any shuffle; an empty table gives an empty one.
     """
     names = [c for c in docs.columns if c not in ("quality", "lines", "bad_lines")]
     picked = docs.select([F.col(f"`{c}`") for c in names])
@@ -215,6 +252,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose quality is at least ``threshold``, with the columns they came with."""
+    """The rows of ``docs`` whose quality is at least ``threshold``, with the columns they came with.
+
+    Nulls, blank and very long texts, repeated rows and an empty table are as in :func:`scored`: texts without lines have quality 0 and
+    go. A tie with the threshold stays. Columns named quality, lines or bad_lines are kept as they came.
+    """
     inner = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return scored(inner, model).filter(F.col("quality") >= threshold).select("row.*")

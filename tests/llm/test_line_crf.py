@@ -1,4 +1,7 @@
 import itertools
+import math
+import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +84,112 @@ def test_scores_do_not_depend_on_the_batch(make, model):
         p = C.marginals(x @ model.weights, doc, model)
         return np.bincount(doc, p * n) / np.bincount(doc, n)
     assert one(texts) == pytest.approx(np.concatenate([one([t]) for t in texts]))
+
+
+def measures(text):
+    """Measures of each line that isn't blank, character by character."""
+    out, had = [], set()
+    for line in re.split("[\n\r]", text or ""):
+        tokens = re.findall("[^ \t]+", line)
+        if not tokens:
+            continue
+        n, words = len(line), len(tokens)
+        letters = sum(c.isalnum() for c in line)
+        upper = sum(c.isalnum() and len(c.lower()) == 1 and c.lower() != c for c in line)
+        marks = sum(c.isascii() and not c.isalnum() and c not in " \t.,;:'\"()-?" for c in line)
+        again = sum(a.lower() == b.lower() for a, b in itertools.pairwise(tokens))
+        solid = sum(map(len, tokens))
+        out.append([
+            min(1, 5 * marks / n), min(1, 2 * line.count("|") / words), min(1, 2 * line.count("!") / words), upper / letters if letters >= 8 else 0, min(1, 3 * again / words),
+            float(line in had), min(1, sum(c in "0123456789" for c in line) / n), 1 - max(1, letters) / max(1, solid), min(1, n / words / 40), min(1, math.log1p(n) / 8),
+        ])
+        had.add(line)
+    return out
+
+
+def odd_texts():
+    return [prose(1, 200), None, "", " \t\n\r\n ", "a\na\nA a a B\n\na", "HÉLLO WÖRLD 12 | x !! *** \r tab\tand  two", "日本語 日本語 x", "İstanbul ǅ ß", "one\n" * 5, "12 12 12 34?"]
+
+
+def test_features_equal_counting_by_hand():
+    texts = odd_texts()
+    x, doc, n = C.line_features(pa.array(texts))
+    at = 0
+    for k, text in enumerate(texts):
+        rows = np.array(measures(text)).reshape(-1, 10)
+        none = np.zeros((1, 10))
+        m = len(rows)
+        want = np.concatenate([np.ones((m, 1)), rows, np.concatenate([none, rows])[:m], np.concatenate([rows[1:], none])[:m]], 1)
+        assert x[at : at + m] == pytest.approx(want) and (doc[at : at + m] == k).all()
+        assert n[at : at + m].tolist() == [len(line) for line in re.split("[\n\r]", text or "") if line.strip(" \t")]
+        at += m
+    assert at == len(x)
+
+
+def test_a_long_text_in_windows_has_the_same_features(monkeypatch):
+    text = prose(3, 3000) + "\rone\n" * 40 + prose(3, 500)
+    whole = C.line_features(pa.array([text]))
+    for window in (1, 100, 5000):
+        monkeypatch.setattr(C, "_WINDOW", window)
+        for a, b in zip(whole, C.line_features(pa.array([text]))):
+            assert a == pytest.approx(b)
+
+
+def test_memory_of_a_very_long_text():
+    text = pa.array([prose(3, 20_000) * (64_000_000 // len(prose(3, 20_000)))], pa.large_string())
+    tracemalloc.start()
+    C.line_features(pa.array(["warm up"]))
+    x, doc, n = C.line_features(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) == len(doc) == len(n) > 100_000 and peak < 5e8, peak
+
+
+def test_the_fit_is_where_the_likelihood_by_enumeration_is_flat():
+    texts = ["Good line here.\nNext one is fine.", "*** | *** |\nGood line here.\n!!! x", "A fine line.", "|| ** ||", "Good words | here"]
+    good = np.array([True, False, True, False, True])
+    model = C.fit([pa.array(texts[:2]), pa.array(texts[2:])], good, 4000, 0.05, 0.05)
+    x, doc, _ = C.line_features(pa.array(texts))
+    theta = np.r_[model.weights, model.moves.ravel(), model.start]
+
+    def loss(v):
+        w, m, s = v[: C.FEATURES], v[C.FEATURES : -2].reshape(2, 2), v[-2:]
+        total = 0.0
+        for d in range(len(texts)):
+            rows = x[doc == d]
+            def score(y):
+                return s[y[0]] + sum(r @ w * b for r, b in zip(rows, y)) + sum(m[a, b] for a, b in itertools.pairwise(y))
+            z = np.logaddexp.reduce([score(y) for y in itertools.product((0, 1), repeat=len(rows))])
+            share = 0.5 / (good == good[d]).sum() / len(rows)
+            total += share * (score((int(good[d]),) * len(rows)) - z)
+        return total - 0.025 * (v**2).sum()
+
+    best = loss(theta)
+    r = np.random.default_rng(0)
+    for _ in range(40):
+        step = r.normal(size=len(theta))
+        slope = (loss(theta + 1e-4 * step) - loss(theta - 1e-4 * step)) / 2e-4
+        assert abs(slope) < 1e-3 * np.linalg.norm(step) and loss(theta + 0.1 * step) < best
+
+
+def test_quality_is_the_mean_marginal_weighted_by_length(make, model):
+    texts = odd_texts()[4:] + ["*** | *** |\nGood line here.\n!!! x"]
+    got = {r.doc_id: (r.quality, r.lines) for r in C.scored(make(list(enumerate(texts))), model).collect()}
+    for k, text in enumerate(texts):
+        x, _, n = C.line_features(pa.array([text]))
+        p, total = np.zeros(len(x)), 0.0
+        for y in itertools.product((0, 1), repeat=len(x)):
+            w = np.exp(model.start[y[0]] + sum(row @ model.weights * b for row, b in zip(x, y)) + sum(model.moves[a, b] for a, b in itertools.pairwise(y)))
+            p, total = p + w * np.array(y), total + w
+        assert got[k] == (pytest.approx((p / total) @ n / n.sum()), len(x))
+
+
+def test_the_sample_is_bounded_and_an_id_counts_once(spark, make):
+    good, bad = sample(30, 0)
+    labels = spark.createDataFrame([*((i, 1) for i, _ in good), *((i, 0) for i, _ in bad)], "doc_id long, quality int")
+    once = C.train(make([*good, *bad]), labels)
+    again = C.train(make([*good, *bad, *[good[0]] * 500]), labels)
+    assert again.weights == pytest.approx(once.weights)
+    huge = (good[1][0], "x" * 300_000)
+    assert C.train(make([*good[:1], *good[2:], huge, *bad]), labels, most_bytes=200_000).weights == pytest.approx(C.train(make([*good[:1], *good[2:], *bad]), labels).weights)
+    assert not C.train(make([*good, *bad]), labels, most_bytes=10).weights.any()
