@@ -148,14 +148,16 @@ def _symbols(cp: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, width
 
 
-def encode_chunk(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and the offsets between them."""
+def encode_chunk(texts: pa.Array, pieces: Pieces, begun: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and the offsets between them; where ``begun``, of a text's later part."""
     cp, at = flat.codepoints(texts)
     count = len(at) - 1
     # the mark goes before each text that isn't empty
     full = np.flatnonzero(np.diff(at) > 0)
-    cp = np.insert(np.where(cp == 0x20, np.uint32(_SPACE), cp), at[full], np.uint32(_SPACE))
-    at = at + np.r_[0, np.cumsum(np.diff(at) > 0)]
+    cp = np.where(cp == 0x20, np.uint32(_SPACE), cp)
+    if not begun:
+        cp = np.insert(cp, at[full], np.uint32(_SPACE))
+        at = at + np.r_[0, np.cumsum(np.diff(at) > 0)]
     if not len(cp):
         return np.empty(0, np.int32), np.zeros(count + 1, np.int64)
     mark = cp == _SPACE
@@ -174,11 +176,36 @@ def encode_chunk(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarra
     return ids, total[np.searchsorted(start, at)]
 
 
-def decode_chunk(ids: np.ndarray, at: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts, one after the other, and the offsets between them."""
+def _parts(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text in parts of about ``most`` bytes, each from a word's begin: a space after what is no space mark."""
+    begin, space = 0, np.flatnonzero(raw == 0x20)
+    first = space[(space > 0) & (raw[space - 1] != 0x20)]
+    first = first[(first < 3) | (raw[first - 1] != 0x81) | (raw[first - 2] != 0x96) | (raw[first - 3] != 0xE2)]
+    while begin < len(raw):
+        k = np.searchsorted(first, begin + most)
+        end = int(first[k]) if k < len(first) else len(raw)
+        yield raw[begin:end]
+        begin = end
+
+
+def encode_long(raw: np.ndarray, pieces: Pieces, most: int = 2 << 20) -> tuple[np.ndarray, bool]:
+    """Ids of one text part by part, and whether they decode to it."""
+    found, exact, begun = [], True, False
+    for part in _parts(raw, most):
+        ids, _ = encode_chunk(pa.array([part.tobytes().decode(errors="replace")], pa.large_string()), pieces, begun)
+        back, _ = decode_chunk(ids, np.array([0, len(ids)]), pieces, begun)
+        found.append(ids)
+        exact, begun = exact and np.array_equal(back, part), True
+    return np.concatenate(found), exact
+
+
+def decode_chunk(ids: np.ndarray, at: np.ndarray, pieces: Pieces, begun: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts, one after the other, and the offsets between them; where ``begun``, of a text's later part."""
     size = pieces.at[ids + 1] - pieces.at[ids]
     raw = pieces.data[_ranges(pieces.at[ids], size)]
     to = np.r_[0, np.cumsum(size)][at]
+    if begun:
+        return raw, to
     lead = to[:-1][(np.diff(to) > 0)]
     lead = lead[raw[lead] == 0x20] if len(lead) else lead
     keep = np.ones(len(raw), bool)
@@ -193,7 +220,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     ``docs`` stay; those named ids, n_ids or exact are replaced. A null text has
     null ids, n_ids and exact; an empty text has no ids. A text with the mark U+2581 decodes to
     one with a space there, and ``exact`` says so. Rows are independent: ids,
-    repeated rows and other columns don't matter. A map without any shuffle.
+    repeated rows and other columns don't matter. A very long text is encoded part by part, cut before
+    words, with the same ids. A map without any shuffle; an empty table gives an empty one.
     """
     pieces = load(path)
     names = [c for c in docs.columns if c not in ("ids", "n_ids", "exact")]
@@ -203,8 +231,13 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         for batch in batches:
             for part in flat.chunks(batch, "text"):
                 texts = part.column("text")
-                ids, at = encode_chunk(texts, pieces)
                 raw, where = flat.utf8(texts)
+                if part.num_rows == 1 and len(raw) > 2 << 20:
+                    ids, same = encode_long(raw, pieces)
+                    more = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int32())), pa.array([len(ids)], pa.int32()), pa.array([same])]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "ids", "n_ids", "exact"])
+                    continue
+                ids, at = encode_chunk(texts, pieces)
                 back, to = decode_chunk(ids, at, pieces)
                 null = np.asarray(texts.is_null())
                 exact = np.diff(to) == np.diff(where)
@@ -222,7 +255,11 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str = MODEL, column: str = "ids", to: str = "text") -> DataFrame:
-    """``encoded`` with the column ``to``: the text of each id list; null for a null list, empty for an empty one."""
+    """``encoded`` with the column ``to``: the text of each id list; null for a null list, empty for an empty one.
+
+    An id that the model doesn't have, or a null in a list, is the unknown piece, 0. Rows are independent; other columns stay but
+    one named ``to``, which is replaced. Lists of any length are decoded whole; an empty table gives an empty one.
+    """
     pieces = load(path)
     names = [c for c in encoded.columns if c != to]
     schema = StructType(list(encoded.select([F.col(f"`{c}`") for c in names]).schema.fields)).add(to, StringType())
@@ -230,7 +267,9 @@ def decode(encoded: DataFrame, path: str = MODEL, column: str = "ids", to: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(column)
-            ids, size = np.asarray(lists.flatten(), np.int32), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            ids = np.asarray(pc.fill_null(lists.flatten(), 0), np.int64)
+            ids = np.where((ids >= 0) & (ids < len(pieces.at) - 1), ids, 0)
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
             raw, at = decode_chunk(ids, np.r_[0, np.cumsum(size)], pieces)
             null = np.asarray(lists.is_null())
             texts = [None if n else raw[a:b].tobytes().decode(errors="replace") for n, a, b in zip(null, at[:-1], at[1:])]

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from dittograph.llm import piece_codec as C
@@ -39,3 +41,30 @@ def test_round_trip_and_odd_rows(odd, nothing):
 def test_a_literal_space_mark_is_reported(make):
     got = {r.doc_id: r.exact for r in C.encode(make([(1, "a▁b"), (2, "a b")])).collect()}
     assert got == {1: False, 2: True}
+
+
+def test_a_long_text_in_parts_has_the_librarys_ids():
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=C.MODEL), C.load()
+    for text in [prose(5, 2000), "  two  spaces " * 300, "▁ ▁a ▁▁ b" * 300, "日本 語" * 500, "x" * 5000, " ", *texts()[:40]]:
+        if not text:
+            continue
+        for most in (1, 50, 3000):
+            ids, exact = C.encode_long(np.frombuffer(text.encode(), np.uint8), pieces, most)
+            assert ids.tolist() == model.encode(text) and exact == (model.decode(ids.tolist()) == text)
+
+
+def test_memory_of_a_very_long_text():
+    pieces = C.load()
+    text = prose(3, 20_000)
+    raw = np.frombuffer((text * (64_000_000 // len(text))).encode(), np.uint8)
+    tracemalloc.start()
+    ids, exact = C.encode_long(raw, pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert exact and len(ids) > 10_000_000 and peak < 5e8, peak
+
+
+def test_ids_that_the_model_lacks_are_unknown(spark):
+    rows = spark.createDataFrame([(1, [0]), (2, [None]), (3, [-5]), (4, [32_000]), (5, []), (6, None)], "doc_id int, ids array<int>")
+    got = {r.doc_id: r.text for r in C.decode(rows).collect()}
+    assert got[1] == got[2] == got[3] == got[4] and got[5] == "" and got[6] is None
