@@ -124,11 +124,34 @@ def span_hashes(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64))
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+#: ASCII bytes that no word has.
+_APART = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def parts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """A text longer than ``most`` bytes, where it is alone, in parts that end between words; all else as it is."""
+    raw, at = utf8(texts)
+    if len(at) != 2 or len(raw) <= most:
+        yield texts
+        return
+    begin = 0
+    while begin < len(raw):
+        end = begin + most
+        while end < len(raw) and not len(hit := np.flatnonzero(_APART[raw[end : end + 4096]])):
+            end += 4096
+        end = min(len(raw), end + int(hit[0]) + 1) if end < len(raw) else len(raw)
+        yield pa.array([raw[begin:end].tobytes().decode(errors="replace")], pa.large_string())
+        begin = end
+
+
+def words(texts: pa.Array, most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of letters and digits, lower case) and each word's text."""
-    cp, at = codepoints(texts)
-    start, end, doc = runs(is_word(cp), at)
-    return span_hashes(lowered(cp), start, end), doc
+    found = []
+    for part in parts(texts, most):
+        cp, at = codepoints(part)
+        start, end, doc = runs(is_word(cp), at)
+        found.append((span_hashes(lowered(cp), start, end), doc))
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found))
 
 
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -49,6 +49,8 @@ PIVOT_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000
 #: N-grams of small regions that one task is given.
 TASK_TOKENS = 1_000_000
+#: Bytes of text whose n-grams one bucket has; what 24 bits name is 400 TB of text.
+BUCKET_BYTES, _MOST_BITS = 24 << 20, 24
 _LOW = np.uint64(0xFFFFFFFF)
 _B32 = np.uint64(32)
 _BLOB = "bucket int, ids binary, counts binary, grams binary, sizes binary"
@@ -62,32 +64,43 @@ def _need(size, t: float):
     return -(-(np.asarray(size, np.int64) * f.numerator) // f.denominator)
 
 
-def _cuts(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return np.searchsorted(keys, edges)
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of what ascends, and how often each is there."""
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+    return x[first], np.diff(np.r_[first, len(x)])
 
 
 def _emit(n: int, bits: int):
-    """Map side of the count: per chunk and bucket one row with the packed n-grams of all its documents."""
+    """Map side of the count: per chunk and bucket one row with the packed n-grams of all its documents.
+
+    One row of a chunk also has the sizes, and so names all documents; others name those with n-grams there.
+    """
+    most = min(60_000, 1 << (32 - bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in flat.chunks(batch, "text"):
+            for part in flat.chunks(batch, "text", max_rows=most):
                 ids = np.asarray(part.column("doc_id"), np.int64)
-                g, doc = flat.ngrams(*flat.words(part.column("text")), n)
-                key = ((g >> np.uint64(64 - bits)) << np.uint64(48)) | (doc.astype(np.uint64) << _B32) | (g & _LOW)
-                key = np.sort(key)
+                key, doc = flat.ngrams(*flat.words(part.column("text")), n)
+                # from the highest bit: bucket, document, the n-gram's lowest 32 bits
+                key &= ~(np.uint64((1 << (32 - bits)) - 1) << _B32)
+                key |= doc.astype(np.uint64) << _B32
+                key.sort()
                 key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-                local = ((key >> _B32) & np.uint64(0xFFFF)).astype(np.int64)
+                local = ((key >> _B32) & np.uint64((1 << (32 - bits)) - 1)).astype(np.int32)
                 sizes = np.bincount(local, minlength=len(ids)).astype(np.uint32)
                 low = (key & _LOW).astype(np.uint32)
-                edge = _cuts(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48)) if bits < 16 else np.r_[_cuts(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(48)), len(key)]
-                steps = np.diff(ids, prepend=0).tobytes()
+                bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
                 carrier = int(ids[0]) % (1 << bits)
+                names = np.union1d(_runs(bucket)[0], np.int32(carrier))
                 rows = []
-                for b in range(1 << bits):
-                    i, j = edge[b], edge[b + 1]
-                    if i < j or b == carrier:
-                        rows.append((b, steps, np.bincount(local[i:j], minlength=len(ids)).astype(np.uint32).tobytes(), low[i:j].tobytes(), sizes.tobytes() if b == carrier else b""))
+                for b, i, j in zip(names.tolist(), np.searchsorted(bucket, names).tolist(), np.searchsorted(bucket, names, "right").tolist()):
+                    grams = low[i:j].tobytes()
+                    docs, counts = _runs(local[i:j])
+                    if b == carrier:
+                        rows.append((b, np.diff(ids, prepend=0).tobytes(), np.bincount(docs, counts, len(ids)).astype(np.uint32).tobytes(), grams, sizes.tobytes()))
+                    else:
+                        rows.append((b, np.diff(ids[docs], prepend=0).tobytes(), counts.astype(np.uint32).tobytes(), grams, b""))
                 yield _batch(rows, [pa.int32()] + [pa.binary()] * 4, ["bucket", "ids", "counts", "grams", "sizes"])
 
     return run
@@ -148,14 +161,14 @@ def _count(parts: int):
         sizes = np.concatenate(sizes) if sizes else np.empty(0, np.uint32)
         apart = _part(sized, parts)
         so = np.argsort(apart, kind="stable")
-        edge, sedge = np.searchsorted(part[by], np.arange(parts + 1)), np.searchsorted(apart[so], np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            docs, has = by[edge[p] : edge[p + 1]], so[sedge[p] : sedge[p + 1]]
-            if len(docs) or len(has):
-                take = _ranges(begin[docs], counts[docs])
-                ranks = np.append(rank[take], np.zeros(len(take) % 2, np.uint8))  # two to a byte
-                rows.append((p, bucket, np.diff(ids[docs], prepend=0).tobytes(), counts[docs].tobytes(), grams[take].tobytes(), (ranks[::2] << 4 | ranks[1::2]).tobytes(), sized[has].tobytes(), sizes[has].tobytes()))
+        part, apart, rows = part[by], apart[so], []
+        names = np.union1d(part, apart)
+        edges = [np.searchsorted(x, names, side).tolist() for x in (part, apart) for side in ("left", "right")]
+        for p, i, j, si, sj in zip(names.tolist(), *edges):
+            docs, has = by[i:j], so[si:sj]
+            take = _ranges(begin[docs], counts[docs])
+            ranks = np.append(rank[take], np.zeros(len(take) % 2, np.uint8))  # two to a byte
+            rows.append((p, bucket, np.diff(ids[docs], prepend=0).tobytes(), counts[docs].tobytes(), grams[take].tobytes(), (ranks[::2] << 4 | ranks[1::2]).tobytes(), sized[has].tobytes(), sizes[has].tobytes()))
         return pa.Table.from_batches([_batch(rows, [pa.int32(), pa.int32()] + [pa.binary()] * 6, ["part", "bucket", "ids", "counts", "grams", "ranks", "sized", "sizes"])])
 
     return run
@@ -215,8 +228,8 @@ def _prefixes(t: float, buckets: int):
             gram, doc = grams[take], np.repeat(np.arange(len(ids)), least)
             to = (flat.mixed(gram) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            rows = [(b, gram[o].tobytes(), ids[doc[o]].tobytes(), size[doc[o]].astype(np.int32).tobytes()) for b in range(buckets) if len(o := order[edge[b] : edge[b + 1]])]
+            names, many = _runs(to[order])
+            rows = [(b, gram[o].tobytes(), ids[doc[o]].tobytes(), size[doc[o]].astype(np.int32).tobytes()) for b, o in zip(names.tolist(), np.split(order, np.cumsum(many)[:-1]))]
             yield _batch(rows, [pa.int32()] + [pa.binary()] * 3, ["bucket", "grams", "ids", "sizes"])
 
     return run
@@ -404,13 +417,16 @@ def _distinct(texts: DataFrame) -> DataFrame:
     return texts.filter(~mine).unionByName(texts.filter(mine).groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
-def survivors(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """Step 1: documents that may have a partner, with the n-grams that others have too, rarest first."""
+def survivors(docs: DataFrame, n: int = N, t: float = THRESHOLD, bucket_bytes: float = BUCKET_BYTES) -> DataFrame:
+    """Step 1: documents that may have a partner, with the n-grams that others have too, rarest first.
+
+    Buckets and parts are as many as the text's bytes ask for; n-grams are told apart by the bucket's bits and 32 more.
+    """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(4, (size // (24 << 20)).bit_length()))
-    parts = min(4096, max(16, 1 << bits))
+    bits = min(_MOST_BITS, max(4, int(size // bucket_bytes).bit_length()))
+    parts = 1 << bits
     blobs = texts.mapInArrow(_emit(n, bits), _BLOB)
     seen = blobs.groupBy("bucket").applyInArrow(_count(parts), _SEEN)
     return written(seen.groupBy("part").applyInArrow(_survive(t), _SET), "survivors")
@@ -461,7 +477,7 @@ def _groups(docs: DataFrame, n: int, threshold: float, region_tokens: int) -> Da
     same = digest.join(least.filter("n > 1"), ["digest", "size"]).select("doc_id", "rep_id").filter("doc_id <> rep_id")
     same = written(same, "same")
     sets = found.join(same.select("doc_id"), "doc_id", "left_anti")
-    buckets = max(16, min(4096, (sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) >> 22))
+    buckets = max(16, (sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) >> 22)
     edges = sets.mapInArrow(_prefixes(threshold, buckets), "bucket int, grams binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(_meet(threshold), "src long, dst long")
     region = written(connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("region")), "region")
     if region.count() <= BROADCAST_ROWS:

@@ -1,9 +1,13 @@
 import random
 import re
+import tracemalloc
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from dittograph.llm import flat
 from dittograph.llm import jaccard_join as J
 
 from .conftest import prose
@@ -124,3 +128,30 @@ def test_short_and_edited_copies_match_by_default(make):
     texts += [(100, " ".join(words)), (101, " ".join("other" + w if k % 10 == 4 else w for k, w in enumerate(words)))]
     got = {tuple(r) for r in J.ngram_jaccard_groups(make(texts)).collect()}
     assert got == {(k, k // 2 * 2) for k, _ in texts}
+
+
+def test_survivors_do_not_depend_on_the_number_of_buckets(make, corpus):
+    def found(bucket_bytes):
+        rows = J.survivors(make(corpus), bucket_bytes=bucket_bytes).collect()
+        return {r.doc_id: (r.size, len(r.grams) // 8) for r in rows}
+
+    few = found(J.BUCKET_BYTES)
+    assert few and found(100) == few and found(0.05) == few  # of 4, about 10 and about 20 bits
+
+
+def test_words_of_a_long_text_in_parts():
+    text = prose(3, 3000) + " " + "x" * 9000 + " é日本 " * 400
+    whole = flat.words(pa.array([text]))
+    for most in (1, 77, 5000):
+        for a, b in zip(whole, flat.words(pa.array([text]), most)):
+            assert (a == b).all()
+
+
+def test_memory_of_a_very_long_text():
+    text = prose(3, 20_000)
+    batch = pa.record_batch({"doc_id": [1], "text": pa.array([text * (64_000_000 // len(text))])})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in J._emit(3, 4)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 16 and peak < 5e8, peak
