@@ -26,6 +26,9 @@ def _once(value: str, name: str, test: str) -> str:
     return f"transform(array({value}), {name} -> {test})[0]"
 
 
+_WORDS = r"regexp_extract_all(text, '\\S+', 0)"
+_LINES = r"filter(split(text, '\n'), x -> trim(x) <> '')"
+_GRAMS = "transform(sequence(1, size(w) - 2), i -> xxhash64(w[i - 1], w[i], w[i + 1]))"
 _SAME = "aggregate(zip_with(slice(w, 2, greatest(size(w) - 1, 0)), w, (a, b) -> int(a = b)), 0, (s, x) -> s + coalesce(x, 0))"
 
 #: name -> expression; a null counts as false.
@@ -35,8 +38,11 @@ RULES = {
     "separators": rf"instr(text, '|') > 0 and 10 * (length(text) - length(replace(text, '|', ''))) > {_COUNT}",
     "exclamations": rf"instr(text, '!') > 0 and 5 * (length(text) - length(replace(text, '!', ''))) > {_COUNT}",
     "shouting": rf"10 * regexp_count(text, '\\p{{Lu}}') > 6 * regexp_count(text, '\\p{{L}}') and {_COUNT} >= 5",
-    "repeated_words": _once(r"regexp_extract_all(text, '\\S+', 0)", "w", f"size(w) >= 10 and 5 * {_SAME} > size(w)"),
-    "repeated_lines": _once(r"filter(split(text, '\n'), x -> trim(x) <> '')", "l", "size(l) >= 4 and 10 * (size(l) - size(array_distinct(l))) > 4 * size(l)"),
+    "repeated_words": _once(_WORDS, "w", f"size(w) >= 10 and 5 * {_SAME} > size(w)"),
+    "repeated_lines": _once(_LINES, "l", "size(l) >= 4 and 10 * (size(l) - size(array_distinct(l))) > 4 * size(l)"),
+    "bullets": _once(_LINES, "l", r"size(l) >= 4 and 10 * size(filter(l, x -> regexp_like(x, '^\\s*[•*‣◦-]'))) > 9 * size(l)"),
+    "ellipses": _once(_LINES, "l", "size(l) >= 4 and 10 * size(filter(l, x -> rtrim(x) like '%...' or rtrim(x) like '%…')) > 3 * size(l)"),
+    "repeated_ngrams": _once(_WORDS, "w", f"size(w) >= 20 and 2 * size(array_distinct({_GRAMS})) < size(w) - 2"),
 }
 SAMPLE = 2000
 
@@ -146,6 +152,9 @@ WITH f AS (
     WHEN 10 * upper > 6 * letters AND words >= 5 THEN 'shouting'
     WHEN words >= 10 AND 5 * len(list_filter(range(2, words + 1), lambda i: w[i] = w[i - 1])) > words THEN 'repeated_words'
     WHEN len(lines) >= 4 AND 10 * (len(lines) - len(list_distinct(lines))) > 4 * len(lines) THEN 'repeated_lines'
+    WHEN len(lines) >= 4 AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[•*‣◦-]'))) > 9 * len(lines) THEN 'bullets'
+    WHEN len(lines) >= 4 AND 10 * len(list_filter(lines, lambda x: rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) > 3 * len(lines) THEN 'ellipses'
+    WHEN words >= 20 AND 2 * len(list_distinct(list_transform(range(1, words - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) < words - 2 THEN 'repeated_ngrams'
   END AS reason FROM f
 )
 SELECT doc_id, reason IS NULL AS keep, reason FROM r
