@@ -189,6 +189,9 @@ def write(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes
     ordered = packed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "url", F.col("page_id").asc_nulls_first(), "digest")
     ordered.mapInArrow(_appended(uri, file_bytes, date), _INDEX).write.mode("overwrite").parquet(f"{uri}/index")
     index = spark.read.schema(_INDEX).parquet(f"{uri}/index")
+    for f in fs.get_file_info(pafs.FileSelector(root)):  # of attempts that failed
+        if f.base_name.startswith(".tmp-"):
+            fs.delete_file(f.path)
     tmp = f"{root}/.tmp-MANIFEST-{uuid.uuid4().hex}"
     with fs.open_output_stream(tmp) as out:
         for r in index.filter("kind = 'file'").orderBy("file").toLocalIterator():

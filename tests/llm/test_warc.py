@@ -59,6 +59,13 @@ def test_bytes_do_not_depend_on_partitions(spark, tmp_path):
     assert (tmp_path / "0/MANIFEST.jsonl").read_text() == (tmp_path / "1/MANIFEST.jsonl").read_text()
 
 
+def test_files_of_failed_attempts_go(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/.tmp-part-000000-00000.warc.gz-7-x").write_bytes(b"half a record")
+    W.write(spark.createDataFrame(PAGES[:5], SCHEMA), f"file://{tmp_path}/w")
+    assert sorted(p.name for p in (tmp_path / "w").iterdir() if not p.name.startswith(".part")) == ["MANIFEST.jsonl", "index", "part-000000-00000.warc.gz"]
+
+
 def test_empty_table(spark, tmp_path):
     assert W.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w").collect() == []
     assert (tmp_path / "w/MANIFEST.jsonl").read_text() == ""
