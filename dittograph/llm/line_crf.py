@@ -31,6 +31,7 @@ _MEASURES = 10
 _SEEN = 5  # the measure that says whether the text had the line before
 #: Bytes of a long text whose lines are measured at once.
 _WINDOW = 2 << 20
+_SCORES = ("quality", "lines", "bad_lines")
 
 
 @dataclass
@@ -233,9 +234,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     lines and bad_lines are replaced, all others stay. A very long text is scored
     whole, its lines measured window by window. A map without any shuffle; an empty table gives an empty one.
     """
-    names = [c for c in docs.columns if c not in ("quality", "lines", "bad_lines")]
-    picked = docs.select([F.col(f"`{c}`") for c in names])
-    schema = StructType(list(picked.schema.fields)).add("quality", DoubleType()).add("lines", IntegerType()).add("bad_lines", IntegerType())
+    return _with_scores(docs.select([F.col(f"`{c}`") for c in docs.columns if c not in _SCORES]), model, _SCORES)
+
+
+def _with_scores(docs: DataFrame, model: Model, scores: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with quality, lines and bad lines in columns named ``scores``, which it doesn't have; each column goes to Python once."""
+    names = docs.columns
+    schema = StructType(list(docs.schema.fields)).add(scores[0], DoubleType()).add(scores[1], IntegerType()).add(scores[2], IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,9 +251,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 total = np.bincount(doc, n, minlength=count)
                 quality = np.bincount(doc, p * n, minlength=count) / np.maximum(1, total)
                 lines, bad = np.bincount(doc, minlength=count), np.bincount(doc, p < 0.5, minlength=count)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(quality), pa.array(lines, pa.int32()), pa.array(bad.astype(np.int32))], names=[*names, "quality", "lines", "bad_lines"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(quality), pa.array(lines, pa.int32()), pa.array(bad.astype(np.int32))], names=[*names, *scores])
 
-    return picked.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,5 +262,7 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     Nulls, blank and very long texts, repeated rows and an empty table are as in :func:`scored`: texts without lines have quality 0 and
     go. A tie with the threshold stays. Columns named quality, lines or bad_lines are kept as they came.
     """
-    inner = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return scored(inner, model).filter(F.col("quality") >= threshold).select("row.*")
+    scores = _SCORES
+    while any(c.lower() in scores for c in docs.columns):
+        scores = tuple(f"_{c}" for c in scores)
+    return _with_scores(docs, model, scores).filter(F.col(scores[0]) >= threshold).select([F.col(f"`{c}`") for c in docs.columns])

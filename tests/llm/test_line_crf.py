@@ -193,3 +193,16 @@ def test_the_sample_is_bounded_and_an_id_counts_once(spark, make):
     huge = (good[1][0], "x" * 300_000)
     assert C.train(make([*good[:1], *good[2:], huge, *bad]), labels, most_bytes=200_000).weights == pytest.approx(C.train(make([*good[:1], *good[2:], *bad]), labels).weights)
     assert not C.train(make([*good, *bad]), labels, most_bytes=10).weights.any()
+
+
+def test_kept_sends_each_column_to_python_once(spark, model):
+    """A copy of the text beside it doubled what the pipeline's classifier held at a time."""
+    schema = "doc_id long, text string, quality string, Lines int, _quality int, bad_lines int"
+    docs = spark.createDataFrame([(1, prose(1, 60), "q", 1, 2, 3), (2, None, "q", 4, 5, 6)], schema)
+    out = C.kept(docs, model)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, prose(1, 60), "q", 1, 2, 3)]
+    node = out._jdf.queryExecution().analyzed()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    sent = node.children().head().schema()
+    assert sent.simpleString() == docs._jdf.schema().simpleString()
