@@ -323,7 +323,8 @@ def gathered(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> Tables:
     uri = fresh(spark, "tables")
     fs, root = pafs.FileSystem.from_uri(uri)
     fs.create_dir(f"{root}/ranges", recursive=True)
-    there = {r.name for r in sums.mapInArrow(_placed(f"{uri}/ranges", sizes, bits), "name string").toLocalIterator()}
+    # one job for all ranges: an iterator over its rows would run a job for each partition, one after the other
+    there = {r.name for r in sums.mapInArrow(_placed(f"{uri}/ranges", sizes, bits), "name string").collect()}
     with fs.open_output_stream(f"{root}/tables.bin") as out:
         for k, n in enumerate(sizes):
             for name in (f"{k}-{half}-{r}" for half in (0, 1) for r in range(1 << bits)):

@@ -209,3 +209,16 @@ def test_ranges_give_the_same_predictions(monkeypatch, make):
     # in small tables other rows meet
     assert [many[k] for k in one] == pytest.approx(list(one.values()), rel=0.05)
     assert sum(many.values()) == pytest.approx(sum(one.values()), rel=0.01)
+
+
+def test_tables_are_placed_by_one_job_however_many_ranges(spark, monkeypatch, make):
+    docs = make([(k, prose(k, 150)) for k in range(30)])
+
+    def jobs(name):
+        spark.sparkContext.setJobGroup(name, name)
+        M.gathered(docs)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    one = jobs("one range")
+    monkeypatch.setattr(M, "RANGE_BYTES", 4000)
+    assert jobs("many ranges") == one
