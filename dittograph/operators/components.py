@@ -56,19 +56,60 @@ def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 100_000]), pa.array(component[k : k + 100_000])], ["node", "component"])
 
 
+def _forest(most: int):
+    """Task that gives edges of the same components, one for each node: labels of up to ``most`` edges at once, carried on while nodes are fewer."""
+
+    def labelled(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return least_labels(*(np.concatenate(x) for x in zip(*pairs)))
+
+    def out(node: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # a root stands in its members' edges, or alone
+        single = np.bincount(np.searchsorted(node, label), minlength=len(node))[np.searchsorted(node, label)] == 1
+        kept = (node != label) | single
+        for k in range(0, int(kept.sum()), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(node[kept][k : k + 100_000]), pa.array(label[kept][k : k + 100_000])], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for x in batches:
+            held.append((np.asarray(x.column("src"), np.int64), np.asarray(x.column("dst"), np.int64)))
+            count += x.num_rows
+            if count > most:
+                node, label = labelled(held)
+                held, count = [(node, label)], len(node)
+                if count > most // 2:
+                    yield from out(node, label)
+                    held, count = [], 0
+        if count:
+            yield from out(*labelled(held))
+
+    return run
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(node, component)`` for every node of an edge, ``component`` its component's least node.
 
     ``edges`` holds two comparable id columns; direction, self-loops, repeats and
     nulls in either end do not matter (rows with a null end are ignored, a
     self-loop alone makes a component of one). An empty table gives no rows.
-    Each round is written to the shared folder, so lineage stays flat. Up to
-    ``local_edges`` distinct edges with integer ends, which are counted first, are worked off by one task without rounds.
+    Each round is written to the shared folder, so lineage stays flat. Edges with integer ends are first cut down to one for each node of a
+    partition, and again in fewer partitions as long as that helps. Up to
+    ``local_edges`` distinct edges, which are counted first, are worked off by one task without rounds.
     """
     raw = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna()
+    whole = local_edges > 0 and isinstance(raw.schema["src"].dataType, LongType) and isinstance(raw.schema["dst"].dataType, LongType)
+    if whole:
+        raw = raw.mapInArrow(_forest(local_edges), "src long, dst long")
     now = written(raw.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
-    if isinstance(now.schema["src"].dataType, LongType) and now.count() <= local_edges:
-        return now.repartition(1).mapInArrow(_at_once, "node long, component long")
+    if whole:
+        count, before = now.count(), None
+        while count > local_edges and (before is None or count <= before // 2):
+            fewer = now.repartition(-(-count // local_edges)).mapInArrow(_forest(2 * local_edges), "src long, dst long").distinct()
+            last, now = now, written(fewer, "cc")
+            dropped(last)
+            before, count = count, now.count()
+        if count <= local_edges:
+            return now.repartition(1).mapInArrow(_at_once, "node long, component long")
     loops = now.filter("src = dst").select(F.col("src").alias("node"))
     last, state = now.filter("src <> dst"), None
     for _ in range(max_rounds):
